@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from landshift.session import cut_lineage
+from landshift.session import store
 
 
-def _fingerprint(edges: DataFrame, cols: list[str]) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _stored(edges: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+    """The edges written once, with their count and an order-free digest."""
+    return store(
+        edges.select(*cols), n=F.count(F.lit(1)), h=F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+    )
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -29,12 +28,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
     s = list(scope)
     cols = [*s, "src", "dst"]
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    current = cut_lineage(
+    current, mark = _stored(
         edges.where(F.col("src") != F.col("dst"))
-        .select(*s, high.alias("src"), low.alias("dst")).distinct()
+        .select(*s, high.alias("src"), low.alias("dst")).distinct(), cols
     )
-    mark = _fingerprint(current, cols)
-    while mark[0]:
+    while mark["n"]:
         both = current.select(*cols).unionByName(
             current.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst"))
         )
@@ -52,8 +50,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
             .unionByName(lowest.select(*s, "src", F.col("m").alias("dst")))
             .distinct()
         )
-        current = cut_lineage(small)
-        after = _fingerprint(current, cols)
+        current, after = _stored(small, cols)
         if after == mark:
             break
         mark = after

@@ -90,11 +90,16 @@ def parcel_match(overlaps: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def setback_zone(new: Column, parcel: Column, setback: Column) -> Column:
+    """Area of a footprint in the strip along the parcel edge; all of it where no inside is left."""
+    inner = G.inset(parcel, setback)
+    inside = F.when(G.is_empty(inner), F.lit(0.0)).otherwise(G.area(new, inner))
+    return F.when(setback == 0, F.lit(0.0)).otherwise(G.area(new, parcel) - inside)
+
+
 def plan_areas(approved: Column, old: Column, new: Column, parcel: Column, setback: Column) -> dict[str, Column]:
     """Plan-comparison areas of boxes by inclusion and exclusion."""
     a, o, n, p = approved, old, new, parcel
-    inner = G.inset(p, setback)
-    inner_area = F.when(G.is_empty(inner), F.lit(0.0)).otherwise(G.area(n, inner))
     return {
         "approved_area": G.area(a),
         "old_area": G.area(o),
@@ -102,7 +107,7 @@ def plan_areas(approved: Column, old: Column, new: Column, parcel: Column, setba
         "added_area": G.area(n) - G.area(n, o),
         "added_outside_approval_area": G.area(n) - G.area(n, o) - G.area(n, a) + G.area(n, o, a),
         "removed_approved_area": G.area(a, o) - G.area(a, o, n),
-        "setback_zone_area": F.when(setback == 0, F.lit(0.0)).otherwise(G.area(n, p) - inner_area),
+        "setback_zone_area": setback_zone(n, p, setback),
         "site_coverage_ratio": F.coalesce(
             G.area(n, p) / F.when(G.area(p) == 0, F.lit(None)).otherwise(G.area(p)), F.lit(0.0)
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,9 +39,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the reliable checkpoint folder so that a lost executor costs nothing."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared checkpoint folder and read them back.
+
+    A lost executor then costs only its own tasks, and the planner knows the real size, so small
+    intermediate tables are broadcast and large ones are not.
+    """
+    return store(df)[0]
+
+
+def store(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Like ``cut_lineage``; also returns aggregates observed while writing, without another job."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    if not measures:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), {}
+    watch = Observation()
+    df.observe(watch, *[m.alias(name) for name, m in measures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), watch.get
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -365,3 +365,71 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
         .alias("source_hashes"),
         F.col("value"),
     )
+
+
+# ---------------------------------------------------------------- tables with planted faults
+
+REFERENCE_TIME = "1998-06-15 12:00:00"
+
+
+def faulty_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The eleven entities with known faults: shifted wards, bad dates, copies, broken links."""
+    land = parcels(spark, root)
+    b = F.col("box")
+
+    def extent(by: str) -> DataFrame:
+        return land.groupBy(by).agg(F.struct(
+            F.min(b["min_x"]).alias("min_x"), F.min(b["min_y"]).alias("min_y"),
+            F.max(b["max_x"]).alias("max_x"), F.max(b["max_y"]).alias("max_y")).alias("box"))
+
+    region, nation = table(spark, root, "region"), table(spark, root, "nation")
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    towns = region.select(_id("mun", r).alias("municipality_id"), _id("code", r).alias("code"), "r_regionkey").join(
+        extent("municipality_id"), "municipality_id").select(
+        "municipality_id", "code",
+        G.box(b["min_x"], b["min_y"], F.when(r == 4, b["min_x"] - 1).otherwise(b["max_x"]), b["max_y"]).alias("box"),
+        F.lit(CRS).alias("crs"))
+    wards = nation.select(
+        _id("ward", n).alias("ward_id"), _id("mun", F.when(n == 7, 99).otherwise(F.col("n_regionkey"))).alias("municipality_id"),
+        "n_nationkey",
+    ).join(extent("ward_id"), "ward_id").select(
+        "ward_id", "municipality_id",
+        G.box(b["min_x"] - F.when(n == 9, 1000).otherwise(0), b["min_y"],
+              b["max_x"] - F.when(n % 5 == 3, 100).otherwise(0), b["max_y"]).alias("box"),
+        F.when(n == 11, "EPSG:4326").otherwise(CRS).alias("crs"))
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    buildings = table(spark, root, "customer").select(
+        _id("bld", c).alias("building_id"), _id("parcel", c).alias("parcel_id"),
+        _id("fp", F.when(c % 17 == 0, c + 1).otherwise(c)).alias("footprint_id"),
+        F.lit(2).alias("approved_floor_count"),
+    ).where(F.col("building_id") != "bld-13")
+    start = F.to_date("o_orderdate")
+    until = F.date_add(start, (F.when(o % 101 == 0, -1).otherwise(30 + o % 11 * 30)).cast("int"))
+    day = F.lit(REFERENCE_TIME).cast("timestamp").cast("date")
+    told = F.when((until < day) | (start > day), "expired").otherwise("active")
+    plan = table(spark, root, "orders").select(
+        _id("permit", o).alias("permit_id"), _id("parcel", F.col("o_custkey")).alias("parcel_id"),
+        _id("fp", F.col("o_custkey")).alias("footprint_id"),
+        (1 + (F.col("o_custkey") + F.when(o % 19 == 0, 1).otherwise(0)) % 2).cast("int").alias("plan_version"),
+        start.alias("valid_from"), until.alias("valid_until"),
+        F.when(o % 97 == 0, "active").otherwise(told).alias("status"))
+    s = F.col("s_suppkey")
+    inspectors = table(spark, root, "supplier").select(
+        _id("insp", s).alias("inspector_id"), _id("team", s % 5).alias("team_code"), (s % 3 != 0).alias("active"))
+    k = F.col("o_custkey")
+    cases = table(spark, root, "orders").select(
+        _id("seed", o).alias("case_id"), _id("parcel", k).alias("parcel_id"), _id("bld", k).alias("building_id"),
+        _id("permit", o).alias("permit_id"), _id("insp", o % 12).alias("inspector_id"),
+        F.array(_id("asset", o % 150), _id("asset", o % 170)).alias("imagery_asset_ids"),
+        F.when(o % 2 == 0, F.array(_id("complaint", o % 900))).otherwise(F.array().cast("array<string>"))
+        .alias("complaint_ids"),
+        footprint_box(k).alias("observed_footprint"), F.lit(1).alias("observed_floor_count"),
+        F.lit("seeded").alias("status"))
+    return {
+        "municipalities": towns, "wards": wards, "parcels": land, "approved_buildings": buildings,
+        "approved_footprints": approved_footprints(spark, root), "permits": plan,
+        "imagery_assets": assets(spark, root),
+        "complaints": complaints(spark, root).withColumn("category", F.lit("construction_change")),
+        "inspectors": inspectors, "inspection_cases": cases,
+        "public_boundaries": public_boundaries(spark, root),
+    }
