@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landshift.functions import boxes as G
 from landshift.functions.scalars import codes
+from landshift.session import cut_lineage
 
 KEYS = {
     "municipalities": "municipality_id", "wards": "ward_id", "parcels": "parcel_id",
@@ -47,9 +48,12 @@ def _bad(alias: str) -> Column:
 
 
 def _settle(df: DataFrame, *reasons: Column) -> DataFrame:
-    """Fix ``_r`` to the first given reason and drop helper columns."""
-    helpers = [c for c in df.columns if c.startswith("_")]
-    return df.select(*[c for c in df.columns if c not in helpers], F.coalesce(*reasons).alias("_r"))
+    """Fix ``_r`` to the first given reason and store the judged rows once.
+
+    Children and both outputs read the stored rows, so no parent is judged twice.
+    """
+    plain = [c for c in df.columns if not c.startswith("_")]
+    return cut_lineage(df.select(*plain, F.coalesce(*reasons).alias("_r")))
 
 
 def _bad_geometry(column: str = "box") -> Column:
