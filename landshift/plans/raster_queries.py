@@ -207,9 +207,9 @@ FOOTPRINT_STEPS = {
     **component_steps("bg", "raster_id", diagonal=False, prefix="b"),
     "opened": """SELECT DISTINCT raster_id, component FROM bcomp WHERE cell // 4294967296 IN (0, 7) OR cell % 4294967296 IN (0, 7)""",
     "outside": "SELECT raster_id, cell FROM bcomp JOIN opened USING (raster_id, component)",
-    "full": """SELECT raster_id, r, c FROM pixels p WHERE raster_id IN (SELECT raster_id FROM fg) AND NOT EXISTS
+    "solid": """SELECT raster_id, r, c FROM pixels p WHERE raster_id IN (SELECT raster_id FROM fg) AND NOT EXISTS
         (SELECT 1 FROM outside o WHERE o.raster_id = p.raster_id AND o.cell = p.r * 4294967296 + p.c)""",
-    **component_steps("full", "raster_id", prefix="f"),
+    **component_steps("solid", "raster_id", prefix="f"),
     "quads": """SELECT raster_id, component, qr, qc, count(*) AS n FROM (SELECT raster_id, component,
         cell // 4294967296 - a AS qr, cell % 4294967296 - b AS qc FROM fcomp, (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b) q)
         GROUP BY ALL""",
