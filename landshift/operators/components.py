@@ -1,16 +1,22 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components.
 
-Published algorithm: Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
-Every round is two grouped minima (combined before the shuffle) and two equi-joins; a hub never
-sits in one task because its edges are only met by the hub's single minimum row.
+Graphs that fall into scopes (one raster, one parcel) are solved scope by scope where a scope is
+small, and all larger scopes, and graphs without scopes, by alternating large-star and small-star
+rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). A round is two
+grouped minima, combined before the shuffle, and two equi-joins; a hub never sits in one task
+because its edges are only met by the hub's single minimum row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from landshift.session import store
 
+LOCAL_EDGES = 200_000
+
 
 def _stored(edges: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     """The edges written once, with their count and an order-free digest."""
@@ -19,19 +25,41 @@ def _stored(edges: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     )
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Least vertex of the component of every vertex.
+def _least_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices in order and the least vertex of each one's component."""
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    u, v = at[: len(src)], at[len(src):]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return names, names[label]
+        label = new
 
-    ``edges``: scope columns, src, dst (any direction). Returns scope, vertex, component; with
-    ``vertices`` (scope, vertex) the isolated ones are their own component.
-    """
-    s = list(scope)
-    cols = [*s, "src", "dst"]
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    current, mark = _stored(
-        edges.where(F.col("src") != F.col("dst"))
-        .select(*s, high.alias("src"), low.alias("dst")).distinct(), cols
-    )
+
+def _within_scopes(edges: DataFrame, scope: list[str]) -> DataFrame:
+    """Labels of scopes of at most LOCAL_EDGES edges each, one small group per scope."""
+    types = dict(edges.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in scope] + [f"vertex {types['src']}", f"component {types['src']}"])
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        vertex, component = _least_labels(part["src"].to_numpy(), part["dst"].to_numpy())
+        out = pd.DataFrame({"vertex": vertex, "component": component})
+        for i, c in enumerate(scope):
+            out.insert(i, c, part[c].iloc[0])
+        return out
+
+    return edges.groupBy(*scope).applyInPandas(solve, schema)
+
+
+def _star_rounds(current: DataFrame, mark: dict, scope: list[str]) -> DataFrame:
+    s, cols = scope, [*scope, "src", "dst"]
     while mark["n"]:
         both = current.select(*cols).unionByName(
             current.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -43,9 +71,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
             .where(F.col("src") != F.col("dst")).distinct()
         )
         lowest = large.groupBy(*s, "src").agg(F.min("dst").alias("m"))
-        spread = large.join(lowest, [*s, "src"])
         small = (
-            spread.select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
+            large.join(lowest, [*s, "src"])
+            .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
             .where(F.col("src") != F.col("dst"))
             .unionByName(lowest.select(*s, "src", F.col("m").alias("dst")))
             .distinct()
@@ -56,7 +84,34 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
         mark = after
     labels = current.groupBy(*s, F.col("src").alias("vertex")).agg(F.min("dst").alias("component"))
     roots = current.select(*s, F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct()
-    known = labels.unionByName(roots)
+    return labels.unionByName(roots)
+
+
+def connected_components(
+    edges: DataFrame, vertices: DataFrame | None = None, scope: tuple[str, ...] = (), local_edges: int = LOCAL_EDGES,
+) -> DataFrame:
+    """Least vertex of the component of every vertex.
+
+    ``edges``: scope columns, src, dst (any direction); edges never leave their scope. Returns
+    scope, vertex, component; with ``vertices`` (scope, vertex) isolated ones are their own
+    component.
+    """
+    s = list(scope)
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    current, mark = _stored(
+        edges.where(F.col("src") != F.col("dst")).select(*s, high.alias("src"), low.alias("dst")).distinct(),
+        [*s, "src", "dst"],
+    )
+    if s and mark["n"]:
+        wide = current.groupBy(*s).agg(F.count("*").alias("_n")).where(F.col("_n") > local_edges).drop("_n")
+        if wide.isEmpty():
+            known = _within_scopes(current, s)
+        else:
+            large, large_mark = _stored(current.join(wide, s, "left_semi"), [*s, "src", "dst"])
+            known = _within_scopes(current.join(wide, s, "left_anti"), s).unionByName(
+                _star_rounds(large, large_mark, s))
+    else:
+        known = _star_rounds(current, mark, s)
     if vertices is None:
         return known
     return (

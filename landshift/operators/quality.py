@@ -162,7 +162,9 @@ def contrast_stretch(pixels: DataFrame, low: float = K.REGISTRATION["low_percent
     span = F.col("high") - F.col("low")
     value = (F.col("gray") - F.col("low")) * (255.0 / F.when(span > 0, span))
     return pixels.join(limits, k, "left").withColumn(
-        "stretched", F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))), F.lit(0)).cast("int"))
+        "stretched", F.coalesce(
+            # The small addend keeps whole numbers whole in spite of division error.
+            F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value)) + 1e-9), F.lit(0)).cast("int"))
 
 
 def ingest(incoming: DataFrame, stored: DataFrame, payload: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from landshift.functions import boxes as G
 from landshift.operators.components import connected_components
+from landshift.session import cut_lineage
 
 Key = tuple[str, ...]
 
@@ -176,13 +177,13 @@ def component_footprints(
                            "width", "height").select(
         *k, "row", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("col"), "width", "height")
     back = cells.join(pixels.select(*k, "row", "col").distinct(), [*k, "row", "col"], "left_anti")
-    ground = pixel_components(back, key, connectivity=4)
+    ground = cut_lineage(pixel_components(back, key, connectivity=4))
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("height") - 1) | (F.col("col") == F.col("width") - 1)
     open_ground = ground.where(edge).select(*k, "component").distinct()
     outside = ground.join(open_ground, [*k, "component"], "left_semi").select(*k, "row", "col")
     used = pixels.select(*k).distinct()
     filled = cells.join(used, k, "left_semi").select(*k, "row", "col").join(outside, [*k, "row", "col"], "left_anti")
-    shapes = pixel_components(filled, key, connectivity=8)
+    shapes = cut_lineage(pixel_components(filled, key, connectivity=8))
     corners = F.explode(F.array(*[
         F.struct((F.col("row") - a).alias("r"), (F.col("col") - b).alias("c")) for a in (0, 1) for b in (0, 1)]))
     blocks = shapes.select(*k, "component", corners.alias("_q")).groupBy(*k, "component", "_q").agg(

@@ -144,7 +144,7 @@ def resample_bilinear(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("contrast_stretch", O.sql(
-    """SELECT p.raster_id, r AS "row", c AS col, CASE WHEN hi > lo THEN CAST(floor(greatest(0e0, least(255e0, (b1 - lo) * (255e0 / (hi - lo))))) AS INTEGER)
+    """SELECT p.raster_id, r AS "row", c AS col, CASE WHEN hi > lo THEN CAST(floor(greatest(0e0, least(255e0, (b1 - lo) * (255e0 / (hi - lo)))) + 1e-9) AS INTEGER)
        ELSE 0 END AS stretched FROM pixels p JOIN (SELECT raster_id, quantile_cont(b1, 0.02e0) AS lo, quantile_cont(b1, 0.98e0) AS hi
        FROM pixels WHERE valid GROUP BY 1) q ON q.raster_id = p.raster_id""", "pixels"))
 def contrast_stretch(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("risk_queries", "catalogue_queries", "raster_queries", "imagery_queries")
+MODULES = ("risk_queries", "catalogue_queries", "raster_queries", "imagery_queries", "case_queries")
 
 
 def load() -> tuple[dict, dict[str, str]]:

@@ -318,6 +318,10 @@ def tiles(spark: SparkSession, root: str) -> DataFrame:
 
 def case_actions(spark: SparkSession, root: str) -> DataFrame:
     """Action log of a case: the turn is the arrival sequence, the text picks the action."""
+    return as_actions(table(spark, root, "conversations"))
+
+
+def as_actions(conversations: DataFrame) -> DataFrame:
     c, t, n = F.col("conv_id"), F.col("turn"), F.length("text")
     plan = F.array(*[F.lit(a) for a in (
         "create", "transition:TRIAGED", "assign", "transition:UNDER_REVIEW", "note",
@@ -332,7 +336,7 @@ def case_actions(spark: SparkSession, root: str) -> DataFrame:
         F.when((t == 0) | (n % 7 < 3), "supervisor").when(n % 7 < 5, "administrator").otherwise("inspector")
     )
     late = F.when(n % 19 == 0, -90).otherwise(0)
-    return table(spark, root, "conversations").select(
+    return conversations.select(
         _id("case", c).alias("case_id"),
         t.alias("seq"),
         F.timestamp_add(
