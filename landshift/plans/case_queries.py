@@ -218,9 +218,8 @@ def judged_actions(spark: SparkSession, root: str) -> DataFrame:
 
 @query("case_stream", JUDGED_SQL)
 def case_stream(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root.rstrip('/')}/conversations.parquet"
-    schema = spark.read.parquet(path).schema
-    return _judged_view(streams.run_case_stream(path, spark, schema, B.as_actions))
+    actions = B.as_actions(streams.stream_table(spark, root, "conversations"))
+    return _judged_view(streams.run_case_stream(actions, spark))
 
 
 SNAPSHOT_STEPS = {
@@ -423,8 +422,8 @@ def model_mismatches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root.rstrip('/')}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = streams.stream_table(spark, root, "events")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("metrics_stream", f"""

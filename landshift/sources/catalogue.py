@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from landshift.functions import boxes as G
 from landshift.functions.scalars import canonical_json, sha256
-from landshift.sources.schemas import SCHEMAS
+from landshift.sources.schemas import ENTITIES, schema_of
 
 
 class SchemaMismatch(ValueError):
@@ -19,7 +19,7 @@ def _flat(schema: T.StructType) -> dict[str, str]:
 
 def load_table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """One Parquet table; extra, missing or retyped columns are refused before any row is read."""
-    declared = schema or SCHEMAS[name]
+    declared = schema or schema_of(name)
     path = f"{root.rstrip('/')}/{name}.parquet"
     stored = spark.read.parquet(path).schema
     if _flat(stored) != _flat(declared):
@@ -28,7 +28,7 @@ def load_table(spark: SparkSession, root: str, name: str, schema: T.StructType |
 
 
 def load_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
-    chosen = schemas or {k: v for k, v in SCHEMAS.items() if k != "quarantine"}
+    chosen = schemas or {name: schema_of(name) for name in ENTITIES}
     return {name: load_table(spark, root, name, schema) for name, schema in chosen.items()}
 
 

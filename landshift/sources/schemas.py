@@ -34,5 +34,8 @@ _DDL = {
         "source_batch_id string",
 }
 
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-ENTITIES = tuple(name for name in SCHEMAS if name != "quarantine")
+ENTITIES = tuple(name for name in _DDL if name != "quarantine")
+
+
+def schema_of(name: str) -> T.StructType:
+    return T.StructType.fromDDL(_DDL[name])

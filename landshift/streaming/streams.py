@@ -20,7 +20,8 @@ JUDGED_COLUMNS = (
     ACTION_COLUMNS + ", " + ", ".join(f"{k} {v}" for k, v in VERDICT.items())
     + ", " + ", ".join(f"after_{k} {v}" for k, v in STATE.items())
 )
-_NAMES = [f.name for f in T.StructType.fromDDL(ACTION_COLUMNS)]
+_NAMES = [part.split()[0] for part in ACTION_COLUMNS.split(", ")]
+_JUDGED_NAMES = [part.split()[0] for part in JUDGED_COLUMNS.split(", ")]
 
 
 class CaseProcessor(StatefulProcessor):
@@ -40,8 +41,7 @@ class CaseProcessor(StatefulProcessor):
             out.append([row[n] for n in _NAMES] + list(verdict.values()) + after)
         if state is not None:
             self._state.update(tuple(state[k] for k in STATE))
-        columns = [f.name for f in T.StructType.fromDDL(JUDGED_COLUMNS)]
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=_JUDGED_NAMES)
 
     def close(self) -> None:
         pass
@@ -86,15 +86,26 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_case_stream(actions_path: str, spark: SparkSession, schema: T.StructType, project) -> DataFrame:
-    """Case stream over Parquet files; ``project`` turns the file rows into actions."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A Parquet table as a stream: its folder, or the one file next to the other tables."""
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    stored = spark.read.parquet(path)
+    reader = spark.readStream.schema(stored.schema)
+    files = stored.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return reader.parquet(path)
+
+
+def run_case_stream(actions: DataFrame, spark: SparkSession) -> DataFrame:
+    """Judges all actions available now, with the RocksDB state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
     try:
-        source = spark.readStream.schema(schema).parquet(actions_path)
-        return run_to_table(case_stream(project(source)), spark, "cases")
+        return run_to_table(case_stream(actions), spark, "cases")
     finally:
         if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+            spark.conf.unset(name)
         else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            spark.conf.set(name, before)
