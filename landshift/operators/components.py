@@ -9,6 +9,8 @@ because its edges are only met by the hub's single minimum row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -25,37 +27,65 @@ def _stored(edges: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     )
 
 
-def _least_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices in order and the least vertex of each one's component."""
-    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    u, v = at[: len(src)], at[len(src):]
-    label = np.arange(len(names))
+def _least_labels(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Least vertex number of the component of every vertex 0..size-1, edges u-v."""
+    label = np.arange(size)
     while True:
         low = np.minimum(label[u], label[v])
         new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
+        for at in (u, v, label[u], label[v]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if np.array_equal(new, label):
-            return names, names[label]
+            return label
         label = new
 
 
+def _solve_scopes(part: pd.DataFrame, scope: list[str]) -> pd.DataFrame:
+    """Labels of all scopes in a frame at once: vertices are numbered by (scope, vertex)."""
+    rows = part.reset_index(drop=True)
+    group = rows.groupby(scope, sort=False).ngroup().to_numpy()
+    codes, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]), sort=True)
+    n = len(rows)
+    pairs = np.concatenate([group, group]).astype(np.int64) * len(names) + codes
+    known, at = np.unique(pairs, return_inverse=True)
+    label = _least_labels(at[:n], at[n:], len(known))
+    first = pd.Series(np.arange(n)).groupby(group).first().to_numpy()
+    out = rows.loc[first[known // len(names)], scope].reset_index(drop=True)
+    out["vertex"] = np.asarray(names)[known % len(names)]
+    out["component"] = np.asarray(names)[known[label] % len(names)]
+    return out
+
+
 def _within_scopes(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """Labels of scopes of at most LOCAL_EDGES edges each, one small group per scope."""
+    """Labels of scopes of at most LOCAL_EDGES edges each.
+
+    Sorted partitions are walked batch by batch; a scope cut by a batch border waits for its rest.
+    """
     types = dict(edges.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in scope] + [f"vertex {types['src']}", f"component {types['src']}"])
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        vertex, component = _least_labels(part["src"].to_numpy(), part["dst"].to_numpy())
-        out = pd.DataFrame({"vertex": vertex, "component": component})
-        for i, c in enumerate(scope):
-            out.insert(i, c, part[c].iloc[0])
-        return out
-
-    return edges.groupBy(*scope).applyInPandas(solve, schema)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = (batch[scope] == batch[scope].iloc[-1]).all(axis=1).to_numpy()
+            if last.all() and waiting and (waiting[-1][scope].iloc[-1] == batch[scope].iloc[-1]).all():
+                waiting.append(batch)
+                continue
+            whole = pd.concat([*waiting, batch[~last]])
+            if len(whole):
+                same = (whole[scope] == batch[scope].iloc[-1]).all(axis=1).to_numpy()
+                if not same.all():
+                    yield _solve_scopes(whole[~same], scope)
+                waiting = [whole[same], batch[last]] if same.any() else [batch[last]]
+            else:
+                waiting = [batch[last]]
+        if waiting:
+            yield _solve_scopes(pd.concat(waiting), scope)
+
+    return edges.select(*scope, "src", "dst").repartition(*scope).sortWithinPartitions(*scope).mapInPandas(walk, schema)
 
 
 def _star_rounds(current: DataFrame, mark: dict, scope: list[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from landshift.functions.scalars import request_key, round6, uuid5_url
 from landshift.operators import complaints as C, risk as R, spatial as S, temporal as T
 from landshift.plans import oracle as O
 from landshift.plans.assess import assess_changes, grouped_complaints
-from landshift.session import cut_lineage
 from landshift.sources import bindings as B
 
 QUERIES: dict = {}
@@ -375,19 +374,19 @@ def complaint_groups(spark: SparkSession, root: str) -> DataFrame:
     "SELECT parcel_id, count(*) AS complaint_groups FROM members WHERE k = 1 GROUP BY 1",
     "complaints", extra=COMPLAINT_STEPS))
 def complaint_corroboration(spark: SparkSession, root: str) -> DataFrame:
-    _m, _l, groups = grouped_complaints(B.complaints(spark, root))
-    return C.groups_per_parcel(groups)
+    membership, _links, _groups = grouped_complaints(B.complaints(spark, root))
+    return C.groups_per_parcel(membership)
 
 
 # ---------------------------------------------------------------- risk
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    _m, _l, groups = grouped_complaints(B.complaints(spark, root))
+    membership, _links, _groups = grouped_complaints(B.complaints(spark, root))
     return {
         "changes": B.changes(spark, root), "parcels": B.parcels(spark, root),
         "approved_footprints": B.approved_footprints(spark, root), "permits": B.permits(spark, root),
         "rule_sets": B.rule_sets(spark, root), "public_boundaries": B.public_boundaries(spark, root),
-        "complaint_counts": C.groups_per_parcel(groups),
+        "complaint_counts": C.groups_per_parcel(membership),
     }
 
 
