@@ -158,10 +158,23 @@ def image_difference(spark: SparkSession, root: str) -> DataFrame:
                          flag(F.size("warnings") > 0).alias("reduced"))
 
 
-@query("structural_change")
+@query("structural_change", O.sql(
+    f"""SELECT u.pair_id, CAST(coalesce(k.n, 0) AS BIGINT) AS changed_pixels, round(coalesce(k.mean_in, 1 - a.mean_all), 5) AS model_score
+        FROM usable u JOIN (SELECT pair_id, avg(d) AS mean_all FROM ssim GROUP BY 1) a ON a.pair_id = u.pair_id
+        LEFT JOIN (SELECT s.pair_id, count(*) AS n, avg(d) AS mean_in FROM ssim s JOIN kept k ON k.raster_id = s.pair_id
+          AND k.cell = s.r * 4294967296 + s.c GROUP BY 1) k ON k.pair_id = u.pair_id""",
+    "pair_pixels", "pairs",
+    extra={"usable": USABLE, **_gauss_steps(),
+           "m0": f"""SELECT s.pair_id AS raster_id, r, c, CASE WHEN d >= {_LIMIT} THEN 1 ELSE 0 END AS v FROM ssim s
+             JOIN usable u ON u.pair_id = s.pair_id""",
+           "m1": _square("min", "m0", 1), "m2": _square("max", "m1", 1),
+           "m3": _square("max", "m2", 1), "m4": _square("min", "m3", 1),
+           "fg": "SELECT raster_id, r, c FROM m4 WHERE v = 1", **component_steps("fg", "raster_id"),
+           "kept": """SELECT * FROM comp WHERE (raster_id, component) IN (SELECT (raster_id, component) FROM comp
+             GROUP BY raster_id, component HAVING count(*) >= 8)"""}))
 def structural_change(spark: SparkSession, root: str) -> DataFrame:
     _labels, result = D.image_difference(B.pair_pixels(spark, root), B.pairs(spark, root), "structural")
-    return result.select("pair_id", "changed_pixels", round6(F.col("model_score")).alias("model_score"))
+    return result.select("pair_id", "changed_pixels", F.round("model_score", 5).alias("model_score"))
 
 
 MASK_STEPS = {

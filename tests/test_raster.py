@@ -48,6 +48,12 @@ def test_star_rounds_equal_local_solution(spark):
     a = connected_components(edges, None, ("g",)).collect()
     b = connected_components(edges, None, ("g",), local_edges=5).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        c = connected_components(edges, None, ("g",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, a)) == sorted(map(tuple, c))
 
 
 def window(a, fn, r):
