@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe
+from landshift.llm import bpe, token_files
 
 QUERIES = {
+    "op8_token_files": token_files.op8_token_files,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
