@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, token_files
+from landshift.llm import bpe, mixing, token_files
 
 QUERIES = {
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op8_token_files": token_files.op8_token_files,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_mix_sources": mixing.OP3_SQL,
+}
