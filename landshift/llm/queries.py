@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, mixing, token_files
+from landshift.llm import bpe, mixing, token_files, url_filter
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_token_files": token_files.op8_token_files,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
