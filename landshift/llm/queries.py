@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, mixing, token_files, url_filter
+from landshift.llm import bpe, line_dedup, mixing, token_files, url_filter
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_token_files": token_files.op8_token_files,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
 }
