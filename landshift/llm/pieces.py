@@ -210,3 +210,23 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     grown = np.zeros(max(size, 2 * len(array)), array.dtype)
     grown[:len(array)] = array
     return grown
+
+
+def windows(ids: np.ndarray, upto: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, class) of all windows of ``width`` ids that lie in one text; equal windows of one text share a class.
+
+    ``upto``: number of ids up to each text's end.
+    """
+    text = np.repeat(np.arange(len(upto)), np.diff(np.append(0, upto)))
+    at = np.flatnonzero(text[:max(0, len(ids) - width + 1)] == text[width - 1:])
+    if not len(at):
+        return at, at
+    keys = np.stack([text[at], *(ids[at + i] for i in range(width))])
+    mixed = np.zeros(len(at), np.uint64)
+    for row in keys:
+        mixed = (mixed ^ row.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    _, first, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+    if not np.array_equal(keys[:, first[inverse]], keys):
+        inverse = np.unique(keys, axis=1, return_inverse=True)[1].ravel()
+    return at, inverse
