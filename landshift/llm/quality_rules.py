@@ -137,11 +137,11 @@ def measure(
 def bands(measured: DataFrame, group: str) -> DataFrame:
     """Per group and measure: outer quartiles and their distance, over all documents with enough words.
 
-    The distance counts as a twentieth of the median at least.
+    The distance counts as a fiftieth of the median at least.
     """
     def quartiles(c: str) -> list:
         q = F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000)
-        return [q[0].alias(f"low_{c}"), q[2].alias(f"high_{c}"), F.greatest(q[2] - q[0], q[1] / 20, F.lit(0.002)).alias(f"gap_{c}")]
+        return [q[0].alias(f"low_{c}"), q[2].alias(f"high_{c}"), F.greatest(q[2] - q[0], q[1] / 50, F.lit(0.002)).alias(f"gap_{c}")]
 
     return measured.where(F.col("n_words") >= MIN_WORDS).groupBy(F.col(group).alias("_group")).agg(
         *quartiles("chars_per_token"), *quartiles("byte_share"), *quartiles("token_entropy"))
