@@ -150,7 +150,8 @@ def bands(measured: DataFrame, group: str) -> DataFrame:
 def judge(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
     """Adds base_failed and kept. A null group is a group of its own; an empty text fails the base rules.
 
-    A band reaches ``width`` distances beyond the quartiles; for fewer than ``LENGTH`` words it is wider
+    A band reaches ``width`` distances below the lower quartile and twice as many above the upper one, as
+    plain text has longer tokens where the vocabulary happens to know its words. For fewer than ``LENGTH`` words it is wider
     by the root of the ratio, as the spread of a mean over so few words is.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -160,7 +161,7 @@ def judge(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
         return F.col(c) >= F.col(f"low_{c}") - reach * F.col(f"gap_{c}")
 
     def high(c: str):
-        return F.col(c) <= F.col(f"high_{c}") + reach * F.col(f"gap_{c}")
+        return F.col(c) <= F.col(f"high_{c}") + 2 * reach * F.col(f"gap_{c}")
 
     inside = low("chars_per_token") & high("chars_per_token") & high("byte_share") & low("token_entropy")
     judged = measured.join(bands(measured, group), F.col(group).eqNullSafe(F.col("_group")), "left")
