@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, language, line_dedup, mixing, quality_rules, token_files, url_filter
+from landshift.llm import bpe, language, line_dedup, mixing, quality_model, quality_rules, token_files, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_token_files": token_files.op8_token_files,
+    "op9_quality_classifier": quality_model.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
