@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, language, line_dedup, mixing, quality_model, quality_rules, token_files, url_filter
+from landshift.llm import bpe, language, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_simhash": simhash.op4_simhash,
     "op5_language_id": language.op5_language_id,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
