@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, language, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, url_filter
+from landshift.llm import bpe, kd_search, language, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
+    "op1_kd_top_k": kd_search.op1_kd_top_k,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash": simhash.op4_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_kd_top_k": kd_search.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
