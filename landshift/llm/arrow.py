@@ -53,3 +53,11 @@ def segment_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments that end at ``ends`` (empty segments give 0)."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     return np.diff(total[np.concatenate([[0], ends])], axis=0)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import slices
+from landshift.llm.arrow import fresh, slices
 from landshift.session import cut_lineage
 
 MIN_POINTS, MIN_DOCS = 20, 3
@@ -223,8 +223,9 @@ def dropped_lines(posted: DataFrame, repeated: DataFrame, filters: DataFrame) ->
 def apply(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "_lines") -> DataFrame:
     """The documents with their texts cut, and a struct ``name``: n_lines, n_dropped, kept_sha256."""
     columns = docs.columns
-    lost = lost.select(F.col("doc").alias("_lost_doc"), F.col("keys.hi").alias("_lost_hi"), F.col("keys.lo").alias("_lost_lo"))
-    rows = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_doc")), "left").drop("_lost_doc")
+    doc_name, hi_name, lo_name = (fresh(columns, f"_lost_{x}") for x in ("doc", "hi", "lo"))
+    lost = lost.select(F.col("doc").alias(doc_name), F.col("keys.hi").alias(hi_name), F.col("keys.lo").alias(lo_name))
+    rows = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col(doc_name)), "left").drop(doc_name)
     at = columns.index(text)
     stats = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -232,7 +233,7 @@ def apply(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text: str =
         digest = xxhash.xxh3_128_digest
         for part in slices(batches, text):
             kept, n_lines, n_lost, sums = [], [], [], []
-            for value, hi, lo in zip(part.column(text), part.column("_lost_hi"), part.column("_lost_lo")):
+            for value, hi, lo in zip(part.column(text), part.column(hi_name), part.column(lo_name)):
                 whole = (value.as_py() or "").encode()
                 n = whole.count(b"\n") + 1
                 if hi.is_valid:

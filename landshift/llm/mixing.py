@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from landshift.llm.arrow import fresh
 from landshift.operators.ranking import global_rank
 from landshift.session import cut_lineage
 
@@ -88,21 +89,22 @@ def size_rows(docs: DataFrame, seed: int, id_col: str = "doc_id", text: str = "t
 
 def deal(rows: DataFrame, plans: DataFrame, source: Column, size: Column, key: Column, name: str) -> DataFrame:
     """Adds a struct ``name``: size, source_size, target, copies (whole repetitions), extra (words of one more), taken."""
-    known = plans.select(F.col("source").alias("_mix_source"), F.struct(
-        "source_size", "target", "whole", "last_key", "last_words", "last_sum").alias("_mix_plan"))
-    p = F.col("_mix_plan")
+    source_name, plan_name = fresh(rows.columns, "_mix_source"), fresh(rows.columns, "_mix_plan")
+    known = plans.select(F.col("source").alias(source_name), F.struct(
+        "source_size", "target", "whole", "last_key", "last_words", "last_sum").alias(plan_name))
+    p = F.col(plan_name)
     later = key > p.last_key
     extra = (
         F.when(later, F.lit(0)).when(key < p.last_key, size)
         .otherwise(F.floor(p.last_words * size / F.greatest(p.last_sum, F.lit(1)))).cast("long"))
     copies = (p.whole + F.when(key < p.last_key, 1).otherwise(0)).cast("int")
     return (
-        rows.join(known, source.eqNullSafe(F.col("_mix_source")))
+        rows.join(known, source.eqNullSafe(F.col(source_name)))
         .withColumn(name, F.struct(
             size.alias("size"), p.source_size.alias("source_size"), p.target.alias("target"), copies.alias("copies"),
             F.when(key == p.last_key, extra).otherwise(0).cast("long").alias("extra"),
             (p.whole * size + extra).cast("long").alias("taken")))
-        .drop("_mix_source", "_mix_plan"))
+        .drop(source_name, plan_name))
 
 
 def mix(

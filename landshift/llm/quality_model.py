@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import slices, text_bytes
+from landshift.llm.arrow import fresh, slices, text_bytes
 from landshift.llm.pieces import distinct, windows, words
 from landshift.operators.ranking import global_rank
 from landshift.session import cut_lineage
@@ -217,8 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def filter_rows(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that the sample holds, weighed again on the way, so no text is shuffled."""
-    rows = weigh(docs, sample.model, id_col, text)
-    return rows.withColumn("_id", F.col(id_col).cast("long")).where(sample.keep(F.col("_weight"), "_id")).drop("_weight", "_id")
+    weight, key = fresh(docs.columns, "_weight"), fresh(docs.columns, "_key")
+    rows = weigh(docs, sample.model, id_col, text, weight).withColumn(key, F.col(id_col).cast("long"))
+    return rows.where(sample.keep(F.col(weight), key)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import ragged, slices, text_bytes
+from landshift.llm.arrow import fresh, ragged, slices, text_bytes
 from landshift.llm.pieces import words
 from landshift.operators.components import connected_components
 from landshift.session import cut_lineage
@@ -266,9 +266,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of the least id of every group; rows of one id are one document."""
+    name = fresh(docs.columns, "_kept")
     kept = groups(docs, id_col, text, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+        F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
