@@ -78,9 +78,9 @@ def _decide(state: dict | None, a: dict) -> tuple[str | None, str | None, str |
     return "UNKNOWN_ACTION", None, None
 
 
-def judge_actions(actions: DataFrame, segment: int = 100_000) -> DataFrame:
+def judge_actions(actions: DataFrame) -> DataFrame:
     """Verdict and state after every action, in arrival order (seq) within a case."""
-    return ordered_fold(actions, "case_id", "seq", judge_action, STATE, VERDICT, segment)
+    return ordered_fold(actions, "case_id", "seq", judge_action, STATE, VERDICT)
 
 
 def case_snapshots(judged: DataFrame) -> DataFrame:
@@ -121,14 +121,14 @@ def _link(state: dict | None, row: dict) -> tuple[dict, dict]:
     return {"head": digest}, {"previous_hash": previous, "event_hash": digest}
 
 
-def build_chain(events: DataFrame, segment: int = 1_000_000) -> DataFrame:
+def build_chain(events: DataFrame) -> DataFrame:
     """Chain of hashes per case over body_sha256 in seq order.
 
     Bodies are hashed in parallel beforehand; what is sequential by definition is one short hash
     per event.
     """
     out = {"previous_hash": "string", "event_hash": "string"}
-    return ordered_fold(events, "case_id", "seq", _link, {"head": "string"}, out, segment).drop("after_head")
+    return ordered_fold(events, "case_id", "seq", _link, {"head": "string"}, out).drop("after_head")
 
 
 def verify_chain(chain: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -157,16 +157,20 @@ def custody_report(evidence: DataFrame, contents: DataFrame | None = None) -> Da
 
     ``evidence``: case_id, position, asset_id, content_sha256, original_sha256, source_asset_id.
     ``contents``: asset_id, actual_sha256. Earlier holders of an id or a content are grouped
-    minima; sources are met by a join on (case, id).
+    minima; sources are met by a join on (case, id). Every asset keeps its row, also without an id or
+    a content hash; what is missing is equal to nothing.
     """
-    ids = evidence.groupBy("case_id", "asset_id").agg(
-        F.min("position").alias("_id_first"), F.max_by("content_sha256", "position").alias("_any"))
-    same = evidence.groupBy("case_id", "content_sha256").agg(F.min("position").alias("_content_first"))
-    sources = evidence.groupBy("case_id", F.col("asset_id").alias("source_asset_id")).agg(
+    case = F.col("case_id").alias("_case")
+    ids = evidence.groupBy(case, F.col("asset_id").alias("_id")).agg(F.min("position").alias("_id_first"))
+    same = evidence.where("content_sha256 is not null").groupBy(case, F.col("content_sha256").alias("_sha")).agg(
+        F.min("position").alias("_content_first"))
+    sources = evidence.groupBy(case, F.col("asset_id").alias("_id")).agg(
         F.max_by("content_sha256", "position").alias("_source_sha"))
+    here = F.col("case_id").eqNullSafe(F.col("_case"))
     joined = (
-        evidence.join(ids, ["case_id", "asset_id"]).join(same, ["case_id", "content_sha256"])
-        .join(sources, ["case_id", "source_asset_id"], "left")
+        evidence.join(ids, here & (F.col("asset_id") == F.col("_id")), "left").drop("_case", "_id")
+        .join(same, here & (F.col("content_sha256") == F.col("_sha")), "left").drop("_case", "_sha")
+        .join(sources, here & (F.col("source_asset_id") == F.col("_id")), "left").drop("_case", "_id")
     )
     has_source = F.col("source_asset_id").isNotNull()
     error = (
@@ -194,10 +198,13 @@ def lineage_levels(evidence: DataFrame) -> DataFrame:
     """Depth of every asset under its origin; assets that never reach one lie on a cycle.
 
     Pointer doubling: each round doubles the distance covered, so the rounds grow with the
-    logarithm of the deepest lineage. After log2(assets) rounds whatever is open is cyclic.
+    logarithm of the deepest lineage. After log2(assets) rounds whatever is open is cyclic. An id that
+    a case holds more than once has one level, by its last row; custody reports the repetition.
     """
-    parent = evidence.select("case_id", F.col("asset_id").alias("_p"), F.lit(True).alias("_in")).distinct()
-    start = evidence.select("case_id", "asset_id", F.col("source_asset_id").alias("_p")).join(
+    order = F.struct("position", "source_asset_id") if "position" in evidence.columns else F.struct("source_asset_id")
+    once = evidence.groupBy("case_id", "asset_id").agg(F.max_by("source_asset_id", order).alias("source_asset_id"))
+    parent = once.select("case_id", F.col("asset_id").alias("_p"), F.lit(True).alias("_in"))
+    start = once.select("case_id", "asset_id", F.col("source_asset_id").alias("_p")).join(
         parent, ["case_id", "_p"], "left").select(
         "case_id", "asset_id", F.when(F.col("_in"), F.col("_p")).alias("up"),
         F.when(F.col("_in"), 1).otherwise(0).cast("long").alias("depth"))

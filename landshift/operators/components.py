@@ -1,10 +1,10 @@
 """Connected components.
 
-Graphs that fall into scopes (one raster, one parcel) are solved scope by scope where a scope is
-small, and all larger scopes, and graphs without scopes, by alternating large-star and small-star
-rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). A round is two
-grouped minima, combined before the shuffle, and two equi-joins; a hub never sits in one task
-because its edges are only met by the hub's single minimum row.
+Edges are first contracted on the way: every task replaces a stretch of edges by the stars that span the
+same components. Graphs that fall into scopes (one raster, one parcel) are sorted by scope before,
+so nearly all scopes are done then. What is still open goes through alternating large-star and
+small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) until every
+vertex has one label that is its own root. The path is the same for every size.
 """
 
 from __future__ import annotations
@@ -15,16 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from landshift.session import store
+from landshift.session import cut_lineage
 
-LOCAL_EDGES = 200_000
-
-
-def _stored(edges: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
-    """The edges written once, with their count and an order-free digest."""
-    return store(
-        edges.select(*cols), n=F.count(F.lit(1)), h=F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
-    )
+#: Edges that a task holds at once; a longer stretch is contracted in pieces.
+HELD_EDGES = 200_000
 
 
 def _least_labels(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
@@ -41,107 +35,87 @@ def _least_labels(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
         label = new
 
 
-def _solve_scopes(part: pd.DataFrame, scope: list[str]) -> pd.DataFrame:
-    """Labels of all scopes in a frame at once: vertices are numbered by (scope, vertex)."""
+def _stars(part: pd.DataFrame, scope: list[str]) -> pd.DataFrame:
+    """Edges (scope, src, dst) from every vertex to the least of its component within the given edges."""
     rows = part.reset_index(drop=True)
-    group = rows.groupby(scope, sort=False).ngroup().to_numpy()
-    codes, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]), sort=True)
     n = len(rows)
+    group = rows.groupby(scope, sort=False, dropna=False).ngroup().to_numpy() if scope else np.zeros(n, np.int64)
+    codes, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]), sort=True)
     pairs = np.concatenate([group, group]).astype(np.int64) * len(names) + codes
     known, at = np.unique(pairs, return_inverse=True)
     label = _least_labels(at[:n], at[n:], len(known))
+    own = label != np.arange(len(known))
     first = pd.Series(np.arange(n)).groupby(group).first().to_numpy()
-    out = rows.loc[first[known // len(names)], scope].reset_index(drop=True)
-    out["vertex"] = np.asarray(names)[known % len(names)]
-    out["component"] = np.asarray(names)[known[label] % len(names)]
+    out = rows.loc[first[known[own] // len(names)], scope].reset_index(drop=True)
+    out["src"] = np.asarray(names)[known[own] % len(names)]
+    out["dst"] = np.asarray(names)[known[label[own]] % len(names)]
     return out
 
 
-def _within_scopes(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """Labels of scopes of at most LOCAL_EDGES edges each.
-
-    Sorted partitions are walked batch by batch; a scope cut by a batch border waits for its rest.
-    """
+def _contracted(edges: DataFrame, scope: list[str], held: int) -> DataFrame:
+    cols = [*scope, "src", "dst"]
     types = dict(edges.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in scope] + [f"vertex {types['src']}", f"component {types['src']}"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
+        size = 0
         for batch in batches:
-            if batch.empty:
-                continue
-            last = (batch[scope] == batch[scope].iloc[-1]).all(axis=1).to_numpy()
-            if last.all() and waiting and (waiting[-1][scope].iloc[-1] == batch[scope].iloc[-1]).all():
-                waiting.append(batch)
-                continue
-            whole = pd.concat([*waiting, batch[~last]])
-            if len(whole):
-                same = (whole[scope] == batch[scope].iloc[-1]).all(axis=1).to_numpy()
-                if not same.all():
-                    yield _solve_scopes(whole[~same], scope)
-                waiting = [whole[same], batch[last]] if same.any() else [batch[last]]
-            else:
-                waiting = [batch[last]]
-        if waiting:
-            yield _solve_scopes(pd.concat(waiting), scope)
-
-    return edges.select(*scope, "src", "dst").repartition(*scope).sortWithinPartitions(*scope).mapInPandas(walk, schema)
-
-
-def _star_rounds(current: DataFrame, mark: dict, scope: list[str]) -> DataFrame:
-    s, cols = scope, [*scope, "src", "dst"]
-    while mark["n"]:
-        both = current.select(*cols).unionByName(
-            current.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-        least = both.groupBy(*s, "src").agg(F.least(F.col("src"), F.min("dst")).alias("m"))
-        large = (
-            both.join(least, [*s, "src"]).where(F.col("dst") > F.col("src"))
-            .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
-            .where(F.col("src") != F.col("dst")).distinct()
-        )
-        lowest = large.groupBy(*s, "src").agg(F.min("dst").alias("m"))
-        small = (
-            large.join(lowest, [*s, "src"])
-            .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
-            .where(F.col("src") != F.col("dst"))
-            .unionByName(lowest.select(*s, "src", F.col("m").alias("dst")))
-            .distinct()
-        )
-        current, after = _stored(small, cols)
-        if after == mark:
-            break
-        mark = after
-    labels = current.groupBy(*s, F.col("src").alias("vertex")).agg(F.min("dst").alias("component"))
-    roots = current.select(*s, F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct()
-    return labels.unionByName(roots)
+            waiting.append(batch)
+            size += len(batch)
+            if size >= held:
+                yield _stars(pd.concat(waiting), scope)
+                waiting, size = [], 0
+        if size:
+            yield _stars(pd.concat(waiting), scope)
+
+    rows = edges.select(*cols)
+    if scope:
+        rows = rows.repartition(*scope).sortWithinPartitions(*scope)
+    return rows.mapInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in cols))
+
+
+def _open(edges: DataFrame, scope: list[str]) -> bool:
+    """Whether some vertex has two labels, or a label that has a label itself."""
+    ends = edges.select(*scope, F.col("src").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(*scope, F.col("dst").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    per = ends.groupBy(*scope, "v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return bool(per.agg(F.max(((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).cast("int"))).first()[0])
+
+
+def _star_round(current: DataFrame, s: list[str]) -> DataFrame:
+    both = current.unionByName(current.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = both.groupBy(*s, "src").agg(F.least(F.col("src"), F.min("dst")).alias("m"))
+    large = (
+        both.join(least, [*s, "src"]).where(F.col("dst") > F.col("src"))
+        .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
+        .where(F.col("src") != F.col("dst")).distinct()
+    )
+    lowest = large.groupBy(*s, "src").agg(F.min("dst").alias("m"))
+    return (
+        large.join(lowest, [*s, "src"])
+        .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
+        .where(F.col("src") != F.col("dst"))
+        .unionByName(lowest.select(*s, "src", F.col("m").alias("dst")))
+        .distinct()
+    )
 
 
 def connected_components(
-    edges: DataFrame, vertices: DataFrame | None = None, scope: tuple[str, ...] = (), local_edges: int = LOCAL_EDGES,
+    edges: DataFrame, vertices: DataFrame | None = None, scope: tuple[str, ...] = (), held: int = HELD_EDGES,
 ) -> DataFrame:
     """Least vertex of the component of every vertex.
 
-    ``edges``: scope columns, src, dst (any direction); edges never leave their scope. Returns
-    scope, vertex, component; with ``vertices`` (scope, vertex) isolated ones are their own
+    ``edges``: scope columns, src, dst (any direction, repeated or not); edges never leave their scope.
+    Returns scope, vertex, component; with ``vertices`` (scope, vertex) isolated ones are their own
     component.
     """
     s = list(scope)
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    current, mark = _stored(
-        edges.where(F.col("src") != F.col("dst")).select(*s, high.alias("src"), low.alias("dst")).distinct(),
-        [*s, "src", "dst"],
-    )
-    if s and mark["n"]:
-        wide = current.groupBy(*s).agg(F.count("*").alias("_n")).where(F.col("_n") > local_edges).drop("_n")
-        if wide.isEmpty():
-            known = _within_scopes(current, s)
-        else:
-            large, large_mark = _stored(current.join(wide, s, "left_semi"), [*s, "src", "dst"])
-            known = _within_scopes(current.join(wide, s, "left_anti"), s).unionByName(
-                _star_rounds(large, large_mark, s))
-    else:
-        known = _star_rounds(current, mark, s)
+    current = cut_lineage(_contracted(edges.where(F.col("src") != F.col("dst")), s, held).distinct())
+    while _open(current, s):
+        current = cut_lineage(_star_round(current, s))
+    labels = current.select(*s, F.col("src").alias("vertex"), F.col("dst").alias("component"))
+    roots = current.select(*s, F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct()
+    known = labels.unionByName(roots)
     if vertices is None:
         return known
     return (

@@ -1,8 +1,7 @@
 """Folds that depend on the row before, over logs of any length per key.
 
-A log is cut into segments of a fixed number of sequence numbers. All keys advance one segment per
-round; a task walks sorted rows batch by batch and keeps one state, so neither a long log nor a
-hot key is ever held in memory. Most logs end in the first round.
+All rows of a key meet in one task, sorted; the task walks them batch by batch and keeps one state,
+so a log of any length is never held in memory. Sequence numbers may be negative, sparse or null.
 """
 
 from __future__ import annotations
@@ -13,19 +12,17 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from landshift.session import cut_lineage
-
 Step = Callable[[dict | None, dict], tuple[dict | None, dict]]
 
 
 def ordered_fold(
     log: DataFrame, key: str, order: str, step: Step, state: dict[str, str], output: dict[str, str],
-    segment: int = 100_000,
 ) -> DataFrame:
     """``step(state or None, row) -> (state, outputs)`` along ``order`` within each ``key``.
 
     Returns the log's columns, the outputs and the state after each row (prefixed ``after_``).
-    ``state`` and ``output`` map names to DDL types.
+    ``state`` and ``output`` map names to DDL types. Rows without a sequence number come first, rows of
+    one number are ordered by a hash of the row; rows without a key are one log.
     """
     columns = log.columns
     schema = ", ".join(
@@ -34,43 +31,21 @@ def ordered_fold(
     names, outs = list(state), list(output)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: Any = None
+        current: Any = walk  # no key is equal to it
         held: dict | None = None
         for batch in batches:
-            rows = batch.to_dict("records")
             done: list[list] = []
-            for row in rows:
-                if row[key] != current:
-                    current = row[key]
-                    held = {n: _none(row[f"_in_{n}"]) for n in names} if row["_known"] else None
+            for row in batch.to_dict("records"):
+                if _none(row[key]) != current:
+                    current, held = _none(row[key]), None
                 held, result = step(held, row)
                 after = [None] * len(names) if held is None else [held[n] for n in names]
                 done.append([result[o] for o in outs] + after)
             extra = pd.DataFrame(done, columns=[*outs, *[f"after_{n}" for n in names]], dtype="object")
-            yield pd.concat([batch[columns].reset_index(drop=True), extra], axis=1)
+            yield pd.concat([batch.reset_index(drop=True), extra], axis=1)
 
-    last = log.agg(F.max(order)).first()[0]
-    if last is None:
-        last = 0
-    result: DataFrame | None = None
-    carried: DataFrame | None = None
-    for i in range(int(last) // segment + 1):
-        part = log.where(F.col(order).between(i * segment, (i + 1) * segment - 1)) if last >= segment else log
-        if carried is None:
-            given = part.select("*", F.lit(False).alias("_known"), *[
-                F.lit(None).cast(t).alias(f"_in_{n}") for n, t in state.items()])
-        else:
-            given = part.join(carried, key, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-        walked = given.repartition(key).sortWithinPartitions(key, order).mapInPandas(walk, schema)
-        if last < segment:
-            return walked
-        walked = cut_lineage(walked)
-        result = walked if result is None else result.unionByName(walked)
-        ends = walked.groupBy(key).agg(F.max_by(F.struct(*[f"after_{n}" for n in names]), order).alias("_s")).select(
-            key, F.lit(True).alias("_known"), *[F.col(f"_s.after_{n}").alias(f"_in_{n}") for n in names])
-        carried = ends if carried is None else cut_lineage(
-            ends.unionByName(carried.join(ends, key, "left_anti")))
-    return result
+    tie = F.xxhash64(*columns)
+    return log.repartition(key).sortWithinPartitions(key, F.col(order).asc_nulls_first(), tie).mapInPandas(walk, schema)
 
 
 def _none(value):

@@ -167,17 +167,21 @@ def contrast_stretch(pixels: DataFrame, low: float = K.REGISTRATION["low_percent
             F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value)) + 1e-9), F.lit(0)).cast("int"))
 
 
-def ingest(incoming: DataFrame, stored: DataFrame, payload: list[str]) -> DataFrame:
+def ingest(
+    incoming: DataFrame, stored: DataFrame, payload: list[str], max_bytes: int = MAX_BYTES, max_pixels: int = MAX_PIXELS,
+) -> DataFrame:
     """Ingest decision per incoming raster: new, same, conflict or the reason of refusal.
 
+    ``max_bytes`` and ``max_pixels`` are rules of the deployment; a larger raster keeps its row with the reason.
+
     The id comes from municipality and content hash. Within a batch the first row of an id counts
     as stored for the later ones.
     """
     key = uuid5_url("asset", F.col("municipality_id"), F.col("content_sha256"))
     given = incoming.withColumn("asset_key", key).withColumn("_p", F.to_json(F.struct(*payload)))
     refused = (
-        F.when(F.col("byte_size") > MAX_BYTES, "TOO_MANY_BYTES")
-        .when(F.col("pixel_count") > MAX_PIXELS, "TOO_MANY_PIXELS")
+        F.when(F.col("byte_size") > max_bytes, "TOO_MANY_BYTES")
+        .when(F.col("pixel_count") > max_pixels, "TOO_MANY_PIXELS")
         .when(F.col("quality_status") == "REJECTED", "QUALITY_REJECTED")
     )
     judged = given.withColumn("_refused", refused)

@@ -237,10 +237,15 @@ def resample(pixels: DataFrame, grids: DataFrame, method: str = "nearest") -> Da
 
     ``pixels``: raster_id, row, col, value, valid. ``grids``: one row per (grid_id, raster_id)
     with left, top, resolution, grid_width, grid_height, src_left, src_top, src_res. Targets come
-    from sequences; the source is met by an equi-join on its (raster_id, row, col).
+    from sequences; the source is met by an equi-join on its (raster_id, row, col). A grid without rows
+    or columns, or with an error code, has no pixels.
     """
+    whole = (F.col("grid_width") >= 1) & (F.col("grid_height") >= 1)
+    if "error_code" in grids.columns:
+        whole &= F.col("error_code").isNull()
     target = (
-        grids.withColumn("t_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid_height") - 1)))
+        grids.where(whole)
+        .withColumn("t_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid_height") - 1)))
         .withColumn("t_col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid_width") - 1)))
         .withColumn("_sx", (F.col("left") + (F.col("t_col") + 0.5) * F.col("resolution") - F.col("src_left")) / F.col("src_res"))
         .withColumn("_sy", (F.col("src_top") - (F.col("top") - (F.col("t_row") + 0.5) * F.col("resolution"))) / F.col("src_res"))

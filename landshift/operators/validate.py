@@ -32,11 +32,10 @@ def _reason(stage: str, *rules: tuple[Column, str]) -> Column:
 
 
 def _parent(df: DataFrame, key: str, alias: str, *cols: str) -> DataFrame:
-    """Parent rows as one struct column, with whether they were rejected."""
-    return df.select(
-        F.col(key).alias(f"_{alias}_key"),
-        F.struct(F.col("_r").isNull().alias("ok"), *cols).alias(f"_{alias}"),
-    )
+    """Parent rows as one struct column, with whether they were rejected; of a repeated id the last row counts."""
+    order = F.struct(*[F.col(c) for c in ("ordinal",) if c in df.columns], F.xxhash64(key, *cols))
+    return df.groupBy(F.col(key).alias(f"_{alias}_key")).agg(
+        F.max_by(F.struct(F.col("_r").isNull().alias("ok"), *cols), order).alias(f"_{alias}"))
 
 
 def _attach(child: DataFrame, parent: DataFrame, alias: str, on: str) -> DataFrame:
@@ -73,13 +72,15 @@ def _assets(df: DataFrame) -> DataFrame:
     """The first asset of a content hash stays, even where it was rejected itself.
 
     The first one is a grouped minimum (combined before the shuffle), not a ranking window, so a
-    group of copies never has to be sorted in one task.
+    group of copies never has to be sorted in one task. A missing hash is a fault of its own and no copy.
     """
-    first = df.groupBy("content_sha256").agg(F.min("ordinal").alias("_first"))
-    joined = df.join(first, "content_sha256")
+    first = df.where("content_sha256 is not null").groupBy(F.col("content_sha256").alias("_sha")).agg(
+        F.min("ordinal").alias("_first"))
+    joined = df.join(first, F.col("content_sha256") == F.col("_sha"), "left").drop("_sha")
     return _settle(
         joined,
-        _reason("contract", (F.col("capture_time") > F.col("ingestion_time"), "INVALID_CAPTURE_TIME"),
+        _reason("contract", (F.col("content_sha256").isNull(), "MISSING_ASSET_HASH"),
+                (F.col("capture_time") > F.col("ingestion_time"), "INVALID_CAPTURE_TIME"),
                 (F.col("box_crs") != F.col("crs"), "CRS_MISMATCH")),
         _reason("deduplication", (F.col("ordinal") > F.col("_first"), "DUPLICATE_ASSET_HASH")),
     )
@@ -106,7 +107,7 @@ def judge(tables: dict[str, DataFrame], at: Column) -> dict[str, DataFrame]:
     out["inspectors"] = tables["inspectors"].withColumn("_r", F.lit(None).cast("struct<reason:string,stage:string>"))
     parcel = _parent(out["parcels"], "parcel_id", "p", "box", "crs", "setback_m")
 
-    known = tables["approved_buildings"].select(F.col("building_id").alias("_b_key"), F.lit(True).alias("_b"))
+    known = tables["approved_buildings"].select(F.col("building_id").alias("_b_key"), F.lit(True).alias("_b")).distinct()
     local = _attach(_attach(tables["approved_footprints"], parcel, "p", "parcel_id"), known, "b", "building_id")
     allowed = G.inset(F.col("_p.box"), F.col("_p.setback_m"))
     local = _settle(local, _bad_geometry(), _reason(
@@ -158,7 +159,7 @@ def _cases(cases: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
         ("a", "imagery_assets", "asset_id", "imagery_asset_ids"), ("c", "complaints", "complaint_id", "complaint_ids"),
     ):
         used = cases.select("case_id", F.explode(ids).alias("_id"))
-        valid = done[entity].where(F.col("_r").isNull()).select(F.col(key).alias("_id"), F.lit(1).alias("_ok"))
+        valid = done[entity].where(F.col("_r").isNull()).select(F.col(key).alias("_id"), F.lit(1).alias("_ok")).distinct()
         broken = used.join(valid, "_id", "left").groupBy("case_id").agg(
             F.count_if(F.col("_ok").isNull()).alias(f"_{alias}_broken"))
         df = df.join(broken, "case_id", "left")

@@ -199,12 +199,11 @@ _INGEST_ID = uuid_sql("asset", "municipality_id || ':' || content_sha256")
     "assets", extra={"keyed": f"""SELECT ordinal, byte_size, source || '/' || CAST(resolution_m AS VARCHAR) AS p, {_INGEST_ID} AS asset_key FROM assets"""}))
 def asset_ingest(spark: SparkSession, root: str) -> DataFrame:
     a = B.assets(spark, root).select("ordinal", "municipality_id", "content_sha256", "source", "resolution_m", "byte_size")
-    incoming = a.withColumn("byte_size", F.when(F.col("byte_size") > 30000, Q.MAX_BYTES + 1).otherwise(F.col("byte_size"))).withColumn(
-        "pixel_count", F.lit(4096)).withColumn(
+    incoming = a.withColumn("pixel_count", F.lit(4096)).withColumn(
         "quality_status", F.when(F.col("ordinal") % 43 == 0, "REJECTED").otherwise("PASS"))
     stored = a.where(F.col("ordinal") % 8 == 1).groupBy("municipality_id", "content_sha256").agg(
         F.first("source").alias("source"), F.first("resolution_m").alias("resolution_m"))
-    return Q.ingest(incoming, stored, ["source", "resolution_m"]).select("ordinal", "asset_key", "state")
+    return Q.ingest(incoming, stored, ["source", "resolution_m"], max_bytes=30_000).select("ordinal", "asset_key", "state")
 
 
 @query("quality_snapshot", O.sql(

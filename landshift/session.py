@@ -28,10 +28,13 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where it is unset."""
+    """Shared folder named by the session. A temporary one serves a local master only: on a cluster every
+    executor would write to a disk of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = named or tempfile.mkdtemp(prefix="landshift-ckpt-")
         spark.sparkContext.setCheckpointDir(named)
         current = spark.sparkContext.getCheckpointDir()

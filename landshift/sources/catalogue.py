@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from landshift.functions import boxes as G
@@ -9,6 +14,9 @@ from landshift.functions.scalars import canonical_json, sha256
 from landshift.sources.schemas import ENTITIES, schema_of
 
 
+HASH_BLOCK = 1 << 20
+
+
 class SchemaMismatch(ValueError):
     """Stored columns differ from the declared ones."""
 
@@ -119,7 +127,7 @@ def case_packages(cases: DataFrame, evidence: DataFrame, events: DataFrame, vers
     return lines.withColumn("line_sha256", sha256(F.col("body")))
 
 
-def write_packages(packages: DataFrame, path: str, buckets: int = 64) -> None:
+def write_packages(packages: DataFrame, path: str) -> None:
     """Packages spread by (case, part, position) ranges so that one long case fills many files."""
     packages.repartitionByRange("case_id", "part", "position").sortWithinPartitions(
         "case_id", "part", "position"
@@ -127,9 +135,22 @@ def write_packages(packages: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
-    """Content hash of every matching file (each at most 2 GiB, as one binary value)."""
-    return spark.read.format("binaryFile").load(glob).select(
-        "path", "length", sha256(F.col("content")).alias("content_sha256"))
+    """Content hash of every matching file; tasks read files in blocks, so their size doesn't matter. Spark lists no empty files."""
+    listed = spark.read.format("binaryFile").load(glob).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                digest = hashlib.sha256()
+                with fs.open_input_stream(name, compression=None) as stream:
+                    while block := stream.read(HASH_BLOCK):
+                        digest.update(block)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], [*batch.schema.names, "content_sha256"])
+
+    return listed.mapInArrow(run, "path string, length long, content_sha256 string")
 
 
 def merge_immutable(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ SUP = ("boss", "supervisor")
 INS = ("insp-1", "inspector")
 
 
-def run(spark, *steps, segment=100_000):
-    return sorted(L.judge_actions(actions(spark, *steps), segment).collect(), key=lambda r: r["seq"])
+def run(spark, *steps):
+    return sorted(L.judge_actions(actions(spark, *steps)).collect(), key=lambda r: r["seq"])
 
 
 def test_workflow_cycle(spark):
@@ -32,17 +33,33 @@ def test_workflow_cycle(spark):
     assert r[-1]["after_inspector"] is None
 
 
-def test_segments_do_not_change_the_result(spark):
+def test_batches_do_not_change_the_result(spark):
     log = B.case_actions(spark, ROOT)
     a = sorted(map(str, L.judge_actions(log).collect()))
-    assert a == sorted(map(str, L.judge_actions(log, segment=2).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert a == sorted(map(str, L.judge_actions(log).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_any_sequence_numbers_keep_every_event(spark):
+    seqs = [None, -7, -1, 0, 3, 10**15]
+    rows = [("c", q, f"{i:064x}") for i, q in enumerate(seqs)] + [(None, 1, "f" * 64), (None, 2, "e" * 64)]
+    events = spark.createDataFrame(rows, "case_id string, seq bigint, body_sha256 string")
+    got = L.build_chain(events).collect()
+    assert len(got) == len(rows)
+    of = {(r["case_id"], r["seq"]): r for r in got}
+    for before, after in zip(seqs, seqs[1:]):
+        assert of["c", after]["previous_hash"] == of["c", before]["event_hash"]
+    assert of["c", None]["previous_hash"] is None and of[None, 1]["previous_hash"] is None
+    assert of[None, 2]["previous_hash"] == of[None, 1]["event_hash"]
 
 
 def test_chain_verifies_and_breaks(spark):
     events = spark.createDataFrame([("c", i, f"{i:064x}") for i in range(6)], "case_id string, seq bigint, body_sha256 string")
     chain = L.build_chain(events)
     assert L.verify_chain(chain).first()["first_broken"] is None
-    assert sorted(chain.collect()) == sorted(L.build_chain(events, segment=2).select(*chain.columns).collect())
     bad = chain.withColumn("body_sha256", F.when(F.col("seq") == 3, "x").otherwise(F.col("body_sha256")))
     assert L.verify_chain(bad).first()["first_broken"] == 3
     assert L.verify_chain(chain.where("seq <> 2")).first()["first_broken"] == 3
@@ -55,6 +72,40 @@ def test_lineage_cycle(spark):
     assert got == {"a": (0, False), "b": (1, False), "d": (2, False), "x": (None, True), "y": (None, True)}
 
 
+def test_repeated_ids_have_one_level(spark):
+    e = spark.createDataFrame([("c", 0, "a", None), ("c", 1, "b", "a"), ("c", 2, "b", "a"), ("c", 3, "a", None), ("c", 4, "d", "b"), ("c", 5, "d", "b")],
+                              "case_id string, position int, asset_id string, source_asset_id string")
+    got = sorted(tuple(r) for r in L.lineage_levels(e).collect())
+    assert got == [("c", "a", 0, False), ("c", "b", 1, False), ("c", "d", 2, False)]
+
+
+def test_custody_keeps_assets_without_hash_or_id(spark):
+    e = spark.createDataFrame(
+        [("c", 0, "a", None, None, None), ("c", 1, "b", None, None, None), ("c", 2, None, "h", None, None), (None, 3, "a", "h", None, None), ("c", 4, "d", "h", None, None)],
+        "case_id string, position int, asset_id string, content_sha256 string, original_sha256 string, source_asset_id string")
+    got = {r["position"]: r["custody_error"] for r in L.custody_report(e).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: "DUPLICATE_CONTENT"}
+
+
+def test_faults_in_keys_conserve_records(spark):
+    tables = dict(B.faulty_tables(spark, ROOT))
+    assets, parcels = tables["imagery_assets"], tables["parcels"]
+    tables["imagery_assets"] = assets.withColumn(
+        "content_sha256", F.when(F.col("ordinal") % 5 != 0, F.col("content_sha256")))
+    tables["parcels"] = parcels.unionByName(parcels)
+    kept, quarantine = V.validate(tables, "b", F.lit(B.REFERENCE_TIME).cast("timestamp"))
+    rejected = {r["e"]: r["n"] for r in quarantine.groupBy(F.split_part("original_record_reference", F.lit(":"), F.lit(1)).alias("e")).agg(F.count("*").alias("n")).collect()}
+    for name, df in tables.items():
+        assert df.count() - kept[name].count() == rejected.get(name, 0), name
+
+
+def test_file_hashes_read_in_blocks(spark, tmp_path):
+    for name, body in (("a.bin", b"a"), ("b.bin", b"x" * 3_000_001)):
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rpartition("/")[2]: (r["length"], r["content_sha256"]) for r in K.file_hashes(spark, str(tmp_path / "*.bin")).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in (("a.bin", b"a"), ("b.bin", b"x" * 3_000_001))}
+
+
 def test_quarantine_conserves_records(spark):
     tables = B.faulty_tables(spark, ROOT)
     kept, quarantine = V.validate(tables, "b", F.lit(B.REFERENCE_TIME).cast("timestamp"))

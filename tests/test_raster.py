@@ -41,12 +41,12 @@ def test_components_match_flood_fill(spark, connectivity):
     assert {frozenset(v) for v in got.values()} == brute_components(mask, connectivity == 8)
 
 
-def test_star_rounds_equal_local_solution(spark):
+def test_star_rounds_equal_contraction_at_once(spark):
     rnd = random.Random(3)
     rows = [(rnd.randrange(3), rnd.randrange(60), rnd.randrange(60)) for _ in range(80)]
     edges = spark.createDataFrame(rows, "g int, src bigint, dst bigint")
     a = connected_components(edges, None, ("g",)).collect()
-    b = connected_components(edges, None, ("g",), local_edges=5).collect()
+    b = connected_components(edges, None, ("g",), held=5).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
@@ -141,3 +141,13 @@ def test_training_matches_numpy(spark):
         err = (1 / (1 + np.exp(-(x @ w + b))) - t) * weight
         w, b = w - 0.2 * (x.T @ err) / weight.sum(), b - 0.2 * err.sum() / weight.sum()
     assert np.allclose(got["weights"], w) and abs(got["bias"] - b) < 1e-9
+
+
+def test_resample_skips_empty_grids(spark):
+    from landshift.operators import spatial as S
+    grids = spark.createDataFrame(
+        [("a", "r", 0.0, 2.0, 1.0, 2, 2, 0.0, 2.0, 1.0), ("b", "r", 0.0, 2.0, 1.0, 2, 0, 0.0, 2.0, 1.0), ("c", "r", 0.0, 2.0, 1.0, -1, 2, 0.0, 2.0, 1.0)],
+        "grid_id string, raster_id string, left double, top double, resolution double, grid_width bigint, grid_height bigint, src_left double, src_top double, src_res double")
+    px = spark.createDataFrame([("r", i, j, 1.0, True) for i in range(2) for j in range(2)], "raster_id string, row int, col int, value double, valid boolean")
+    for method in ("nearest", "bilinear"):
+        assert {r["grid_id"]: r["count"] for r in S.resample(px, grids, method).groupBy("grid_id").count().collect()} == {"a": 4}
