@@ -22,6 +22,12 @@ RISK_WEIGHTS = {
     "quality_warning_penalty": 5.0,
     "stale_evidence_penalty": 8.0,
 }
+# Factor codes in the order in which they are listed.
+RISK_FACTORS = (
+    "CHANGE_CONFIDENCE", "CHANGED_AREA", "UNAPPROVED_ADDED_AREA", "WRONG_PLAN_VERSION", "ACTIVE_PERMIT_NOT_FOUND",
+    "PARCEL_BOUNDARY_REVIEW", "COMPLAINT_CORROBORATION", "SITE_COVERAGE_EXCEEDED", "SETBACK_ZONE_INTERSECTION",
+    "PUBLIC_BOUNDARY_INTERSECTION", "REGISTRATION_QUALITY_PENALTY", "IMAGE_QUALITY_PENALTY", "STALE_EVIDENCE_PENALTY",
+)
 RISK_THRESHOLDS = {"medium": 25.0, "high": 50.0, "critical": 75.0}
 AREA_REFERENCE_M2 = 100.0
 FRESHNESS_DAYS = 180
