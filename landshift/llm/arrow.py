@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to Python; Spark's own default is eight times as much.
+BATCH_BYTES = 8 << 20
+#: Slices after which freed memory goes back to the system.
+RELEASE_AFTER = 16
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of a few megabytes, so that long texts don't pile up on both sides.
+
+    The size is a setting of the session and stays set, as it is read when the job starts.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(name)) or 0) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system; a worker outlives many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of at most ``limit`` bytes of text each; a longer text is a slice of its own."""
+    done = 0
     for batch in batches:
         ends = offsets(batch.column(column))
         at = 0
@@ -20,6 +49,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
             yield batch.slice(at, stop - at)
             at = stop
+            done += 1
+            if done % RELEASE_AFTER == 0:
+                release()
+    release()
 
 
 def offsets(col: pa.Array) -> np.ndarray:

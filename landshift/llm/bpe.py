@@ -18,7 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from landshift.llm.arrow import ragged, slices, text_bytes
+from landshift.llm.arrow import map_batches, ragged, slices, text_bytes
 from landshift.llm.pieces import PieceMemory, cut
 
 #: Matrix widths in bytes; longer pieces are merged one by one with a heap, in n log n steps.
@@ -77,7 +77,6 @@ class Vocabulary:
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
             for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self.pairs = {(a, b): r for a, b, r in found}
         left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
         self.table = PairTable(left, right, rank.astype(np.int32))
         by_id = {r: t for t, r in self.ranks.items()}
@@ -144,24 +143,25 @@ class Vocabulary:
             ranks[after, at[after]] = self.table.get(ids[after, at[after]], ids[after, at[after] + 1])
 
     def _merge_long(self, piece: bytes) -> list[int]:
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
+        """The same merges with a heap of pair ranks and a linked list; a merged neighbour is an empty part."""
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
-            j = right[i] if ids[i] >= 0 else -1
-            if j < 0 or self.pairs.get((ids[i], ids[j])) != rank:
+            j = right[i] if parts[i] else -1
+            if j < 0 or self.ranks.get(parts[i] + parts[j]) != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            parts[i], parts[j] = parts[i] + parts[j], b""
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a in (left[i], i):
-                if a >= 0 and right[a] >= 0 and (r := self.pairs.get((ids[a], ids[right[a]]))) is not None:
+                if a >= 0 and right[a] >= 0 and (r := self.ranks.get(parts[a] + parts[right[a]])) is not None:
                     heapq.heappush(heap, (r, a))
-        return [x for x in ids if x >= 0]
+        return [self.ranks[p] for p in parts if p]
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts on end and the number of ids up to each text's end."""
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_i
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(id_col), lists], [id_col, "ids"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return map_batches(docs.select(id_col, text), run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab: str, id_col: str = "doc_id") -> DataFrame:
@@ -208,7 +208,7 @@ def decode(encoded: DataFrame, vocab: str, id_col: str = "doc_id") -> DataFrame:
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return map_batches(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, text string")
 
 
 def digests(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -232,7 +232,7 @@ def digests(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_
                 pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(to, to[1:])], pa.string()),
             ], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text).mapInArrow(
+    return map_batches(docs.select(id_col, text),
         run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import ragged, segment_sums, slices, text_bytes
+from landshift.llm.arrow import map_batches, ragged, segment_sums, slices, text_bytes
 from landshift.llm.pieces import distinct, words
 
 BUCKETS, ORDERS, SMOOTH = 1 << 14, (1, 2, 3), 0.5
@@ -78,7 +78,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())],
                 ["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = map_batches(rows, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found.column("lang").to_pylist()), key=lambda x: x.encode())
     place = {x: i for i, x in enumerate(languages)}
     counts = np.full((BUCKETS, len(languages)), SMOOTH)
@@ -177,7 +177,7 @@ def predict(
                                         pa.array(share[held[:, 0], held[:, 1]].astype(np.float64))),
             ], [*columns, "lang_pred", "score", "languages"])
 
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*columns, text])), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import fresh, slices
+from landshift.llm.arrow import fresh, map_batches, slices
 from landshift.session import cut_lineage
 
 MIN_POINTS, MIN_DOCS = 20, 3
@@ -60,11 +60,9 @@ class Cuckoo:
         if self.table is None or not len(hi):
             return
         mark, at, _ = self._places(hi, lo)
+        mark, at = self._settle(mark, at)
+        at = self._other(at, mark)
         for turn in range(ROUNDS):
-            mark, at = self._settle(mark, at)
-            if not len(mark):
-                return
-            at = self._other(at, mark)
             mark, at = self._settle(mark, at)
             if not len(mark):
                 return
@@ -126,7 +124,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 [pa.array(both[:, 0]), pa.array(both[:, 1]), part.column(id_col).take(pa.array(rows))], ["hi", "lo", "doc"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text)
-    return rows.mapInArrow(run, "hi long, lo long, doc long")
+    return map_batches(rows, run, "hi long, lo long, doc long")
 
 
 def reference_counts(posted: DataFrame) -> DataFrame:
@@ -151,7 +149,7 @@ def build_filters(keys: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS)
         yield _rows(held)
 
     rows = keys.select("hi", "lo", F.pmod("hi", F.lit(shards)).alias("shard"))
-    return rows.repartition(min(shards, 16), "shard").mapInArrow(run, "shard long, slots binary")
+    return map_batches(rows.repartition(min(shards, 16), "shard"), run, "shard long, slots binary")
 
 
 def _rows(held: dict[int, Cuckoo]) -> pa.RecordBatch:
@@ -180,7 +178,7 @@ def change_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, sha
                 c.insert(hi[new], lo[new])
         yield _rows(held)
 
-    return rows.repartition(min(shards, 16), "shard").sortWithinPartitions("shard", F.abs("add")).mapInArrow(
+    return map_batches(rows.repartition(min(shards, 16), "shard").sortWithinPartitions("shard", F.abs("add")),
         run, "shard long, slots binary")
 
 
@@ -208,7 +206,7 @@ def possible_hits(posted: DataFrame, filters: DataFrame, shards: int = SHARDS, b
             hit = full[shard] | (whole[a] == mark[:, None]).any(axis=1) | (whole[b] == mark[:, None]).any(axis=1)
             yield batch.filter(pa.array(hit))
 
-    return posted.select("hi", "lo", "doc").mapInArrow(run, "hi long, lo long, doc long")
+    return map_batches(posted.select("hi", "lo", "doc"), run, "hi long, lo long, doc long")
 
 
 def dropped_lines(posted: DataFrame, repeated: DataFrame, filters: DataFrame) -> DataFrame:
@@ -252,7 +250,7 @@ def apply(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*out, found], [*columns, name])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return rows.mapInArrow(run, ", ".join([*kinds, f"`{name}` struct<n_lines: long, n_dropped: long, kept_sha256: string>"]))
+    return map_batches(rows, run, ", ".join([*kinds, f"`{name}` struct<n_lines: long, n_dropped: long, kept_sha256: string>"]))
 
 
 def _digests(hi: pa.Scalar, lo: pa.Scalar) -> set[bytes]:

@@ -158,7 +158,7 @@ class PieceMemory:
     ``encode`` maps a list of byte strings to (ids on end, number of ids of each).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

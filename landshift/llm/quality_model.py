@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import fresh, slices, text_bytes
+from landshift.llm.arrow import fresh, map_batches, slices, text_bytes
 from landshift.llm.pieces import distinct, windows, words
 from landshift.operators.ranking import global_rank
 from landshift.session import cut_lineage
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text)
-    found = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(
+    found = map_batches(rows, run, "bucket long, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     counts = np.zeros((2, size))
     at = found.column("bucket").to_numpy()
@@ -155,7 +155,7 @@ def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(weight)], [*columns, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` long")
+    return map_batches(docs, run, f"{kinds}, `{name}` long")
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray, harm: float = 5.0) -> float:
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         for batch in batches:
             yield batch.filter(pa.array(np.isin(batch.column("id").fill_null(-1).to_numpy(), ids)))
 
-    seen = weighed.mapInArrow(mine, "id long, _weight long").groupBy("id").agg(F.max("_weight").alias("w")).toArrow()
+    seen = map_batches(weighed, mine, "id long, _weight long").groupBy("id").agg(F.max("_weight").alias("w")).toArrow()
     good = np.array([held[i] for i in seen.column("id").to_pylist()])
     if model.ratio is None or not (0 < (good > 0).sum() < len(good)):
         return Sample(model, float("-inf")), weighed

@@ -16,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import ragged, segment_sums, slices, text_bytes
+from landshift.llm.arrow import map_batches, ragged, segment_sums, slices, text_bytes
 from landshift.llm.bpe import vocabulary
 from landshift.llm.pieces import PieceMemory, distinct, windows, words
 from landshift.session import cut_lineage
@@ -131,7 +131,7 @@ def measure(
             ], [*columns, *[x.split()[0] for x in MEASURES.split(", ")]])
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], MEASURES])
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*columns, text])), run, schema)
 
 
 def bands(measured: DataFrame, group: str) -> DataFrame:
@@ -155,7 +155,7 @@ def judge(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
     by the root of the ratio, as the spread of a mean over so few words is.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    reach = F.lit(width) * F.greatest(F.lit(1.0), F.sqrt(F.lit(float(LENGTH)) / F.col("n_words")))
+    reach = F.lit(width) * F.greatest(F.lit(1.0), F.sqrt(F.lit(float(LENGTH)) / F.greatest(F.col("n_words"), F.lit(1))))
 
     def low(c: str):
         return F.col(c) >= F.col(f"low_{c}") - reach * F.col(f"gap_{c}")

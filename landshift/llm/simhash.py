@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import fresh, ragged, slices, text_bytes
+from landshift.llm.arrow import fresh, map_batches, ragged, slices, text_bytes
 from landshift.llm.pieces import words
 from landshift.operators.components import connected_components
 from landshift.session import cut_lineage
@@ -209,7 +209,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(prints.view(np.int64))], [id_col, "print"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, print long")
+    return map_batches(docs.select(id_col, text), run, f"`{id_col}` {kind}, print long")
 
 
 def print_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,8 +239,8 @@ def print_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(held[0]):
             yield _edges(*links_of_runs(*held, radius))
 
-    rows = prints.select("print").mapInArrow(spread, "key int, print long, stored boolean")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "src long, dst long")
+    rows = map_batches(prints.select("print"), spread, "key int, print long, stored boolean")
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), meet, "src long, dst long")
 
 
 def _edges(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from landshift.llm.arrow import ragged, slices, text_bytes
+from landshift.llm.arrow import map_batches, ragged, slices, text_bytes
 from landshift.llm.pieces import PieceMemory, cut
 from landshift.session import cut_lineage, scratch_path
 
@@ -200,9 +200,8 @@ def write(docs: DataFrame, vocab: str, end_id: int, folder: str, text: str = "te
 
     tie = F.xxhash64(F.col(text))
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text)
-    files = cut_lineage(
-        rows.repartitionByRange(F.col(id_col), tie).sortWithinPartitions(F.col(id_col), tie)
-        .mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
+    ordered = rows.repartitionByRange(F.col(id_col), tie).sortWithinPartitions(F.col(id_col), tie)
+    files = cut_lineage(map_batches(ordered, run, "part long, path string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -230,7 +229,7 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         ], [id_col, "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    return manifest.select("path", "start", "part").repartition(n, "part").mapInArrow(
+    return map_batches(manifest.select("path", "start", "part").repartition(n, "part"),
         run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 

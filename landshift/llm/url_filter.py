@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from landshift.llm.arrow import map_batches
 from landshift.session import cut_lineage
 
 #: Blocks of 512 bits; 2 ** 14 blocks are 1 MB.
@@ -59,7 +60,7 @@ def bloom(keys: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block), *[pa.array(words[:, i].astype(np.int64)) for i in range(8)]], ["block", *names])
 
-    rows = keys.select("key").mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names))
+    rows = map_batches(keys.select("key"), run, "block long, " + ", ".join(f"{n} long" for n in names))
     found = rows.groupBy("block").agg(*[F.bit_or(n).alias(n) for n in names]).collect()
     out = np.zeros((blocks, 8), np.uint64)
     for row in found:
@@ -102,7 +103,7 @@ def match(urls: DataFrame, entries: DataFrame, url: str = "url", blocks: int = B
 
     distinct = urls.groupBy(F.col(url).alias("url")).agg(F.lit(1).alias("_one")).select(
         "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = distinct.mapInArrow(run, "url string, host string, path string, keys array<string>")
+    judged = map_batches(distinct, run, "url string, host string, path string, keys array<string>")
     hits = judged.select("url", "host", "path", F.explode_outer("keys").alias("key"))
     rule = rules.select("key", F.struct(
         F.length("key").alias("n"), F.length("host").alias("h"), F.col("key").alias("rule"), F.col("verdict")).alias("r"))
