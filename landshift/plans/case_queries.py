@@ -142,7 +142,31 @@ def compare_methods(spark: SparkSession, root: str) -> DataFrame:
                       round6(F.col("false_alarms_per_km2")).alias("false_alarms_per_km2"), "fp_area", "added_error", "removed_error")
 
 
-@query("train_siamese")
+def _linear(n: int, x: str = "c.x") -> str:
+    return " + ".join([*(f"s.w{i} * {x}{i}" for i in range(n)), "s.b"])
+
+
+def _descent(n: int, rate: float, epochs: int, table: str, err: str, size: str) -> str:
+    """Recursive rows (e, w0.., b): the weights after e full-batch steps."""
+    w = [f"w{i}" for i in range(n)]
+    return f"""SELECT 0 AS e, {', '.join(f'0e0 AS {x}' for x in w)}, 0e0 AS b UNION ALL
+        SELECT e + 1, {', '.join(f'{x} - {rate}e0 * g{i} / size' for i, x in enumerate(w))}, b - {rate}e0 * g / size FROM (
+          SELECT e, {', '.join(w)}, b, any_value(size) AS size, {', '.join(f'sum(err * x{i}) AS g{i}' for i in range(n))}, sum(err) AS g
+          FROM (SELECT s.*, {', '.join(f'c.x{i}' for i in range(n))}, ({sigmoid(_linear(n))} - c.t) * {err} AS err, {size} AS size
+                FROM step s, {table} c, tot WHERE s.e < {epochs}) GROUP BY e, {', '.join(w)}, b)"""
+
+
+_X = [f"abs(nb{i} / 255e0 - ob{i} / 255e0)" for i in (1, 2, 3)] + ["CAST(abs(nm - om) AS DOUBLE)"]
+
+
+@query("train_siamese", O.sql(
+    f"SELECT {', '.join(f'{O.r6(x)} AS {x}' for x in ('w0', 'w1', 'w2', 'w3'))}, {O.r6('b')} AS bias FROM step WHERE e = {K.SIAMESE['epochs']}",
+    "pair_pixels", "pairs", extra={
+        "rows": f"""SELECT {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))}, CASE WHEN target > 0 THEN 1 ELSE 0 END AS t, count(*) AS n
+            FROM pair_pixels JOIN pairs USING (pair_id) WHERE split = 'train' GROUP BY ALL""",
+        "tot": "SELECT CAST(sum(n) FILTER (t = 1) AS DOUBLE) AS p, CAST(sum(n) FILTER (t = 0) AS DOUBLE) AS q FROM rows",
+        "step": _descent(4, K.SIAMESE["rate"], K.SIAMESE["epochs"], "rows", "c.n * CASE WHEN c.t = 1 THEN q / p ELSE 1e0 END", "q + q / p * p"),
+    }))
 def train_siamese(spark: SparkSession, root: str) -> DataFrame:
     train = B.pair_pixels(spark, root).join(B.pairs(spark, root).where("split = 'train'").select("pair_id"), "pair_id", "left_semi")
     model = E.train_logistic(E.siamese_features(train), 4)
@@ -151,15 +175,43 @@ def train_siamese(spark: SparkSession, root: str) -> DataFrame:
     ).select(*[round6(F.col(c)).alias(c) for c in ("w0", "w1", "w2", "w3", "bias")])
 
 
-@query("train_segmentation")
+_P3 = f"greatest(1e-7, least(1 - 1e-7, {sigmoid(_linear(3))}))"
+_SEGMENTATION_STEPS = {
+    "sized": """SELECT p.*, t.split, count(*) OVER (PARTITION BY raster_id) AS size FROM pixels p
+        JOIN tiles t ON CAST(substr(t.tile_id, 6) AS BIGINT) = p.raster_id WHERE t.split IN ('train', 'validation')""",
+    "norm": "SELECT " + ", ".join(f"avg({b} / 255e0) AS m{i}, stddev_pop({b} / 255e0) AS d{i}" for i, b in enumerate(("b1", "b2", "b3")))
+            + " FROM sized WHERE split = 'train'",
+    "rows": "SELECT " + ", ".join(f"({b} / 255e0 - m{i}) / d{i} AS x{i}" for i, b in enumerate(("b1", "b2", "b3")))
+            + ", mask AS t, split, count(*) AS n, sum(1e0 / size) AS share FROM sized, norm GROUP BY ALL",
+    "tot": """SELECT CAST(sum(n) FILTER (split = 'train') AS DOUBLE) AS n, sum(share) FILTER (split = 'train') AS st,
+        sum(share) FILTER (split = 'validation') AS sv FROM rows""",
+    "step": _descent(3, K.SEGMENTATION["rate"], K.SEGMENTATION["epochs"], "(SELECT * FROM rows WHERE split = 'train')", "c.n", "tot.n"),
+    "loss": f"""SELECT e - 1 AS epoch, sum(l) FILTER (split = 'train') / any_value(st) AS tl, sum(l) FILTER (split = 'validation') / any_value(sv) AS vl
+        FROM (SELECT s.e, c.split, st, sv, -(c.t * ln({_P3}) + (1 - c.t) * ln(1 - {_P3})) * c.share AS l FROM step s, rows c, tot WHERE s.e > 0) GROUP BY e""",
+    "walk": f"""SELECT -1 AS epoch, 1e308 AS best, 0 AS waited, -1 AS kept UNION ALL
+        SELECT l.epoch, CASE WHEN vl < best - {K.SEGMENTATION['min_delta']!r} THEN vl ELSE best END,
+          CASE WHEN vl < best - {K.SEGMENTATION['min_delta']!r} THEN 0 ELSE waited + 1 END,
+          CASE WHEN vl < best - {K.SEGMENTATION['min_delta']!r} THEN l.epoch ELSE kept END
+        FROM walk w JOIN loss l ON l.epoch = w.epoch + 1 WHERE waited < {K.SEGMENTATION['patience']}""",
+}
+
+
+@query("train_segmentation", O.sql(
+    f"""SELECT l.epoch, {O.r6('tl')} AS train_loss, {O.r6('vl')} AS validation_loss,
+        {', '.join(f'{O.r6(f"s.{x}")} AS {x}' for x in ('w0', 'w1', 'w2'))}, {O.r6('s.b')} AS bias
+        FROM walk w JOIN loss l ON l.epoch = w.epoch
+        JOIN step s ON s.e = (SELECT 1 + max_by(kept, epoch) FROM walk)""", "pixels", "tiles", extra=_SEGMENTATION_STEPS))
 def train_segmentation(spark: SparkSession, root: str) -> DataFrame:
+    """One row per epoch with both losses, and the weights kept by early stopping beside each."""
     tiles = B.tiles(spark, root).select(F.expr("cast(substr(tile_id, 6) as bigint)").alias("raster_id"), "split")
     px = B.pixels(spark, root).join(tiles, "raster_id").select(
         F.col("raster_id").alias("sample"), "split", "b1", "b2", "b3", F.col("mask").alias("target"))
     model = E.train_segmentation(px, ["b1", "b2", "b3"])
+    numbers = ("train_loss", "validation_loss", "w0", "w1", "w2", "bias")
     return spark.createDataFrame(
-        [(i, t, v) for i, (t, v) in enumerate(model["history"])], "epoch int, train_loss double, validation_loss double"
-    ).select("epoch", round6(F.col("train_loss")).alias("train_loss"), round6(F.col("validation_loss")).alias("validation_loss"))
+        [(i, t, v, *model["weights"], model["bias"]) for i, (t, v) in enumerate(model["history"])],
+        "epoch int, " + ", ".join(f"{c} double" for c in numbers)
+    ).select("epoch", *[round6(F.col(c)).alias(c) for c in numbers])
 
 
 # ---------------------------------------------------------------- cases

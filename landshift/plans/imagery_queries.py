@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landshift.functions import boxes as G, constants as C
@@ -330,7 +332,45 @@ def _pair_extents(spark: SparkSession, root: str) -> DataFrame:
         F.floor(F.col("raster_id") / 2).alias("pair_id"), "width", "height", "transform", F.lit(1.0).alias("factor"))
 
 
-@query("pair_evidence")
+def _renamed(steps: dict[str, str], **names: str) -> dict[str, str]:
+    """Steps with some of the tables that they read or make under other names."""
+    def new(text: str) -> str:
+        return re.sub(rf"\b({'|'.join(names)})\b", lambda m: names[m[1]], text)
+    return {names.get(k, k): new(v) for k, v in steps.items()}
+
+
+# Every mask of a pair is a raster of its own: 0 and 1 for the sides, 2 to 5 for the change labels 1 to 4.
+_EVIDENCE_STEPS = {
+    "segmented": f"""SELECT pair_id, r, c, {sigmoid(_seg_logit('o'))} AS po, {sigmoid(_seg_logit('n'))} AS pn,
+        CAST(po >= 0.5e0 AS INTEGER) AS om, CAST(pn >= 0.5e0 AS INTEGER) AS nm FROM pair_pixels""",
+    **_renamed(MASK_STEPS, pair_pixels="segmented"),
+    "shapes": """SELECT s.pair_id * 8 + k AS raster_id, s.r, s.c, CASE k WHEN 0 THEN om WHEN 1 THEN nm
+        ELSE CAST(l.label IS NOT DISTINCT FROM k - 1 AS INTEGER) END AS mask
+        FROM segmented s JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k) kinds ON true
+        LEFT JOIN labelled l ON l.pair_id = s.pair_id AND l.cell = s.r * 4294967296 + s.c""",
+    **_renamed(FOOTPRINT_STEPS, pixels="shapes", fg="shape_fg"),
+    "found": "SELECT raster_id // 8 AS pair_id, raster_id % 8 AS k, area * 4 AS area FROM outline WHERE area >= 2",
+    "wide": """SELECT p.*, s.seg, coalesce(l.n, 0) AS changed, coalesce(f.sides, 0) AS sides, coalesce(f.polygons, 0) AS polygons,
+        coalesce(f.area, 0e0) AS area, u.pair_id IS NOT NULL AS registered FROM pairs p
+        JOIN (SELECT pair_id, avg(po + pn) / 2 AS seg FROM segmented GROUP BY 1) s ON s.pair_id = p.pair_id
+        LEFT JOIN (SELECT pair_id, count(*) AS n FROM labelled GROUP BY 1) l ON l.pair_id = p.pair_id
+        LEFT JOIN (SELECT pair_id, count(DISTINCT k) FILTER (k < 2) AS sides, count(*) FILTER (k > 1) AS polygons,
+          sum(area) FILTER (k > 1) AS area FROM found GROUP BY 1) f ON f.pair_id = p.pair_id
+        LEFT JOIN usable u ON u.pair_id = p.pair_id""",
+}
+
+
+_CONFIDENCE = (
+    "greatest(0e0, least(1e0, seg * (0.2e0 + 0.8e0 * score) * greatest(0e0, 1 - warning_count * 0.08e0) * CASE WHEN changed = 0 THEN 1e0 "
+    "WHEN changed < 8 THEN 0.35e0 ELSE least(1e0, 0.6e0 + 0.4e0 * (changed - 8) / 56) END * (0.5e0 + 0.5e0 * seg)))")
+
+
+@query("pair_evidence", O.sql(
+    f"""SELECT pair_id, CASE WHEN NOT registered THEN 'REGISTRATION_FAILED' WHEN sides < 2 THEN 'REGISTRATION_QUALITY_TOO_LOW' ELSE '' END AS error_code,
+        changed AS changed_pixels, polygons, {O.r6('area')} AS changed_area, {O.r6('seg')} AS segmentation_confidence,
+        {O.r6(_CONFIDENCE)} AS change_confidence,
+        CASE WHEN pair_id % 8 = 0 THEN 'REQUIRES_MANUAL_ALIGNMENT' WHEN pair_id % 5 = 0 THEN 'PASS_WITH_WARNING' ELSE 'PASS' END AS image_status
+        FROM wide""", "pair_pixels", "pairs", extra=_EVIDENCE_STEPS))
 def pair_evidence(spark: SparkSession, root: str) -> DataFrame:
     p = F.col("pair_id")
     pairs = B.pairs(spark, root).select(
