@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 19
-#: Bytes of an Arrow batch on its way to Python; Spark's own default is eight times as much.
-BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of an Arrow batch on its way to Python; Spark's own default is sixteen times as much.
+BATCH_BYTES = 4 << 20
 #: Slices after which freed memory goes back to the system.
 RELEASE_AFTER = 16
 
@@ -27,7 +27,12 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     conf = df.sparkSession.conf
     if int(re.sub(r"\D", "", conf.get(name)) or 0) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def release() -> None:
@@ -52,7 +57,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             done += 1
             if done % RELEASE_AFTER == 0:
                 release()
-    release()
 
 
 def offsets(col: pa.Array) -> np.ndarray:

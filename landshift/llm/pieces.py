@@ -37,7 +37,7 @@ def _powers(factor: int, size: int) -> np.ndarray:
     """factor ** 0, 1, ... modulo 2 ** 64."""
     known = _POWERS.get(factor)
     if known is None or len(known) < size:
-        steps = np.full(max(size, 1 << 20), factor, np.uint64)
+        steps = np.full(max(size, 1 << 18), factor, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
         if size <= 1 << 22:

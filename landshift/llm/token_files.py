@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from landshift.llm.arrow import map_batches, ragged, slices, text_bytes
+from landshift.llm.arrow import SLICE_BYTES, map_batches, ragged, slices, text_bytes
 from landshift.llm.pieces import PieceMemory, cut
 from landshift.session import cut_lineage, scratch_path
 
@@ -151,16 +152,33 @@ class Reader:
 def _pieces(vocab: str) -> PieceMemory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(vocab)
     tokenizer.encode_special_tokens = True
+    split = tokenizer.pre_tokenizer
+    if isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and tokenizer.normalizer is None:
+        # a piece needs no more cutting: its bytes, written in the byte alphabet, go straight to the merges
+        model, letters = tokenizer.model, _byte_letters()
+
+        def ids_of(piece: bytes) -> list[int]:
+            return [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
+    else:
+        raise ValueError(f"{vocab} does not cut texts into the pieces of the byte-level pattern")
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        found = [ids_of(p) for p in pieces]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    return PieceMemory(encode, 400_000)
+
 
-    return PieceMemory(encode)
+def _byte_letters() -> dict[int, str]:
+    """The letter of every byte in byte-level vocabularies: itself where it prints, else the next above 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def write(docs: DataFrame, vocab: str, end_id: int, folder: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -180,7 +198,7 @@ def write(docs: DataFrame, vocab: str, end_id: int, folder: str, text: str = "te
         fs, path = _filesystem(target)
         n_docs = n_tokens = 0
         writer = out = None
-        for chunk in slices(batches, text):
+        for chunk in slices(batches, text, 2 * SLICE_BYTES):
             if writer is None:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
