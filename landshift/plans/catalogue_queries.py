@@ -232,11 +232,11 @@ def content_hashes(spark: SparkSession, root: str) -> DataFrame:
       WHEN s.lang = i.lang AND s.n = i.n THEN 'same' ELSE 'conflict' END AS state
     FROM (SELECT doc_id, lang, n_chars AS n FROM documents WHERE doc_id % 3 <> 0) s
     FULL JOIN (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n FROM documents
-               WHERE doc_id % 2 = 0) i ON i.doc_id = s.doc_id""")
+               WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) i ON i.doc_id = s.doc_id""")
 def immutable_merge(spark: SparkSession, root: str) -> DataFrame:
     docs = B.table(spark, root, "documents").select("doc_id", "lang", F.col("n_chars").alias("n"))
     d = F.col("doc_id")
-    incoming = docs.where(d % 2 == 0).withColumn("n", F.when(d % 5 == 0, F.col("n") + 1).otherwise(F.col("n")))
+    incoming = docs.where((d % 2 == 0) | (d % 3 == 0)).withColumn("n", F.when(d % 5 == 0, F.col("n") + 1).otherwise(F.col("n")))
     return K.merge_immutable(docs.where(d % 3 != 0), incoming, "doc_id").select("doc_id", "state")
 
 

@@ -52,11 +52,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                2 + c_custkey % 2, {_F[0]}, {_F[1]}, {_F[2]} + 5, {_F[3]} + 5
         FROM customer WHERE c_custkey % 10 = 0"""),
     "permits": ((), """
-        SELECT 'permit-' || o_orderkey AS permit_id, 'parcel-' || o_custkey AS parcel_id,
+        SELECT 'permit-' || o_orderkey AS permit_id,
+               CASE WHEN o_custkey % 50 = 0 THEN 'parcel-gone-' ELSE 'parcel-' END || o_custkey AS parcel_id,
                'fp-' || o_custkey AS footprint_id, 1 + o_orderkey % 2 AS plan_version,
                CAST(o_orderdate AS DATE) AS valid_from,
                CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 11 * 30 AS INTEGER) AS valid_until
-        FROM orders WHERE o_custkey % 50 <> 0"""),
+        FROM orders"""),
     "changes": ((), f"""
         SELECT 'chg-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
                  || strftime(l_shipdate, '%Y%m%d') AS change_id,

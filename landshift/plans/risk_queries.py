@@ -497,13 +497,12 @@ def uuid_sql(prefix: str, key: str) -> str:
     f"""SELECT 'review-' || substr(sha256(case_id || ':' || rule_set_id), 1, 20) AS queue_item_id, case_id, risk_score,
         risk_level, row_number() OVER (ORDER BY risk_score DESC, case_id) AS queue_rank FROM (
         SELECT {uuid_sql('inspection-case', 'change_id')} AS case_id, rule_set_id, score AS risk_score, level AS risk_level
-        FROM levelled WHERE error_code = '' AND level = 'CRITICAL_REVIEW')""",
+        FROM levelled WHERE error_code = '')""",
     *ASSESS_TABLES, extra=ASSESS_STEPS))
 def review_queue(spark: SparkSession, root: str) -> DataFrame:
     from landshift.operators.ranking import global_rank
 
-    done = assess_changes(_tables(spark, root)).where(
-        F.col("error_code").isNull() & (F.col("level") == "CRITICAL_REVIEW"))
+    done = assess_changes(_tables(spark, root)).where(F.col("error_code").isNull())
     queue = R.review_queue(done).select("queue_item_id", "case_id", "risk_score", "risk_level")
     return global_rank(queue, [F.col("risk_score").desc(), F.col("case_id").asc()], "queue_rank")
 

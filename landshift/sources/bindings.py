@@ -88,15 +88,15 @@ def approved_footprints(spark: SparkSession, root: str) -> DataFrame:
 
 
 def permits(spark: SparkSession, root: str) -> DataFrame:
-    """Parcels whose key is a multiple of fifty have none."""
+    """Permits of parcels whose key is a multiple of fifty name a parcel that is gone, so those have none."""
     k = F.col("o_orderkey")
     start = F.to_date("o_orderdate")
     return (
         table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        .where(F.col("o_custkey") % 50 != 0)
         .select(
             _id("permit", k).alias("permit_id"),
-            _id("parcel", F.col("o_custkey")).alias("parcel_id"),
+            F.when(F.col("o_custkey") % 50 == 0, _id("parcel-gone", F.col("o_custkey")))
+            .otherwise(_id("parcel", F.col("o_custkey"))).alias("parcel_id"),
             _id("fp", F.col("o_custkey")).alias("footprint_id"),
             (1 + k % 2).cast("int").alias("plan_version"),
             start.alias("valid_from"),
