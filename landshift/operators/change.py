@@ -45,9 +45,10 @@ def difference_score(pixels: DataFrame, mode: str = "pixel", bands: int = 3, key
 def image_difference(
     pixels: DataFrame, pairs: DataFrame, mode: str = "pixel", bands: int = 3, cfg: dict = K.IMAGE_DIFFERENCE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(labelled pixels, one result row per usable pair).
+    """(labelled pixels, one result row per pair).
 
-    The threshold rises as registration gets worse; every surviving pixel is an uncertain change.
+    The threshold rises as registration gets worse; every surviving pixel is an uncertain change. A pair
+    that may not be compared has an error code and no figures.
     """
     usable = usable_pairs(pairs, cfg["min_score"])
     threshold = F.least(F.lit(1.0), cfg["threshold"] + cfg["penalty"] * (1 - F.col("score")))
@@ -61,10 +62,13 @@ def image_difference(
     labels = kept.select("pair_id", "row", "col", "component", "difference", F.lit(K.UNCERTAIN).alias("label"))
     changed = kept.groupBy("pair_id").agg(F.count("*").alias("changed_pixels"), F.avg("difference").alias("_in"))
     overall = scored.groupBy("pair_id").agg(F.avg("difference").alias("_all"))
-    result = usable.join(overall, "pair_id").join(changed, "pair_id", "left").select(
-        "pair_id", F.coalesce("changed_pixels", F.lit(0)).alias("changed_pixels"),
-        F.coalesce(F.col("_in"), 1 - F.col("_all")).alias("model_score"),
-        codes((F.col("score") < K.TIER_MEDIUM, "REGISTRATION_QUALITY_REDUCED")).alias("warnings"))
+    error = registration_error(cfg["min_score"])
+    ok = error.isNull()
+    result = pairs.join(overall, "pair_id", "left").join(changed, "pair_id", "left").select(
+        "pair_id", error.alias("error_code"),
+        F.when(ok, F.coalesce("changed_pixels", F.lit(0))).alias("changed_pixels"),
+        F.when(ok, F.coalesce(F.col("_in"), 1 - F.col("_all"))).alias("model_score"),
+        F.when(ok, codes((F.col("score") < K.TIER_MEDIUM, "REGISTRATION_QUALITY_REDUCED"))).alias("warnings"))
     return labels, result
 
 
@@ -94,16 +98,18 @@ def mask_difference(pixels: DataFrame, pairs: DataFrame, cfg: dict = K.MASK_DIFF
 
 
 def changed_area(labels: DataFrame, pixels: DataFrame, pairs: DataFrame, min_score: float = K.MASK_DIFFERENCE["min_score"]) -> DataFrame:
-    """Added, removed and common pixels and square metres of every usable pair."""
+    """Added, removed and common pixels and square metres of every pair; an error code where it may not be compared."""
     counts = labels.groupBy("pair_id").agg(
         F.count_if(F.col("label").isin(K.ADDED, K.EXPANSION)).alias("added_pixels"),
         F.count_if(F.col("label").isin(K.REMOVED, K.PARTIAL_DEMOLITION)).alias("removed_pixels"))
     common = pixels.groupBy("pair_id").agg(
         F.count_if((F.col("old_mask") > 0) & (F.col("new_mask") > 0)).alias("common_pixels"))
     a, r = F.coalesce("added_pixels", F.lit(0)), F.coalesce("removed_pixels", F.lit(0))
-    return usable_pairs(pairs, min_score).join(common, "pair_id").join(counts, "pair_id", "left").select(
-        "pair_id", a.alias("added_pixels"), r.alias("removed_pixels"), "common_pixels",
-        (a * F.col("pixel_area")).alias("added_area"), (r * F.col("pixel_area")).alias("removed_area"))
+    error = registration_error(min_score)
+    values = {"added_pixels": a, "removed_pixels": r, "common_pixels": F.col("common_pixels"),
+              "added_area": a * F.col("pixel_area"), "removed_area": r * F.col("pixel_area")}
+    return pairs.join(common, "pair_id", "left").join(counts, "pair_id", "left").select(
+        "pair_id", error.alias("error_code"), *[F.when(error.isNull(), v).alias(name) for name, v in values.items()])
 
 
 def change_confidence(

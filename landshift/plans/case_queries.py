@@ -9,7 +9,9 @@ from landshift.functions.scalars import decimals, request_key, round2, round6
 from landshift.operators import cases as L, change as D, evaluate as E
 from landshift.operators.ranking import global_rank
 from landshift.plans import oracle as O
-from landshift.plans.raster_queries import BIAS, MASK_STEPS, SEG, WEIGHTS, _SIAM, _seg_logit, component_steps, sigmoid
+from landshift.plans.raster_queries import (
+    BIAS, MASK_STEPS, PIXEL_SCORED, SEG, WEIGHTS, _SIAM, _seg_logit, component_steps, difference_steps, sigmoid,
+)
 from landshift.plans.risk_queries import REQUESTS_SQL, flag
 from landshift.sources import bindings as B, catalogue
 from landshift.streaming import streams
@@ -104,10 +106,11 @@ def _tiered(spark: SparkSession, root: str) -> DataFrame:
 _TIER = "CASE WHEN off_nadir OR score < 0.55e0 THEN 'difficult' WHEN score < 0.8e0 THEN 'medium' ELSE 'high' END"
 
 EVAL_STEPS = {
-    **MASK_STEPS,
-    "grid": """SELECT m.method, x.pair_id, x.r, x.c, x.target, CASE WHEN m.method = 'mask' THEN coalesce(l.label, 0)
-        ELSE coalesce(s.label, 0) END AS predicted FROM pair_pixels x JOIN usable u ON u.pair_id = x.pair_id AND u.split = 'validation',
-        (SELECT unnest(['mask', 'siamese']) AS method) m
+    **MASK_STEPS, **difference_steps(PIXEL_SCORED),
+    "grid": """SELECT m.method, x.pair_id, x.r, x.c, x.target, CASE m.method WHEN 'mask' THEN coalesce(l.label, 0)
+        WHEN 'image' THEN CASE WHEN d.cell IS NOT NULL THEN 5 ELSE 0 END ELSE coalesce(s.label, 0) END AS predicted FROM pair_pixels x JOIN usable u ON u.pair_id = x.pair_id AND u.split = 'validation',
+        (SELECT unnest(['mask', 'image', 'siamese']) AS method) m
+        LEFT JOIN dkept d ON d.raster_id = x.pair_id AND d.cell = x.r * 4294967296 + x.c
         LEFT JOIN labelled l ON l.pair_id = x.pair_id AND l.cell = x.r * 4294967296 + x.c
         LEFT JOIN (SELECT pair_id, r, c, CASE WHEN """ + sigmoid(_SIAM) + """ >= 0.5e0 THEN 5 ELSE 0 END AS label FROM pair_pixels) s
           ON s.pair_id = x.pair_id AND s.r = x.r AND s.c = x.c""",
@@ -136,7 +139,8 @@ EVAL_STEPS = {
 def compare_methods(spark: SparkSession, root: str) -> DataFrame:
     px, pairs = B.pair_pixels(spark, root), _tiered(spark, root)
     sia = D.siamese(px, pairs, WEIGHTS, BIAS).where("label > 0").select("pair_id", "row", "col", "label")
-    out = E.compare_methods({"mask": D.mask_difference(px, pairs), "siamese": sia}, px, pairs, "validation")
+    image, _ = D.image_difference(px, pairs)
+    out = E.compare_methods({"mask": D.mask_difference(px, pairs), "image": image, "siamese": sia}, px, pairs, "validation")
     return out.select("method", "tier", round6(F.col("iou")).alias("iou"), round6(F.col("f1")).alias("f1"),
                       round6(F.col("object_recall")).alias("object_recall"),
                       round6(F.col("false_alarms_per_km2")).alias("false_alarms_per_km2"), "fp_area", "added_error", "removed_error")

@@ -138,43 +138,50 @@ def structural_difference(spark: SparkSession, root: str) -> DataFrame:
     return px.select("pair_id", "row", "col", F.round("difference", 5).alias("difference"))
 
 
+_GATE = """CASE WHEN NOT transform_plausible OR overlap_ratio <= 0 THEN 'REGISTRATION_INVALID' WHEN score < 0.25e0 THEN 'REGISTRATION_TOO_LOW' ELSE '' END"""
+
+
+def difference_steps(scored: str) -> dict[str, str]:
+    """From ``scored`` (pair_id, r, c, d, lim) to the cells that stay after opening, closing and dropping."""
+    return {
+        "scored": scored,
+        "m0": "SELECT pair_id AS raster_id, r, c, CASE WHEN d >= lim THEN 1 ELSE 0 END AS v FROM scored",
+        "m1": _square("min", "m0", 1), "m2": _square("max", "m1", 1),
+        "m3": _square("max", "m2", 1), "m4": _square("min", "m3", 1),
+        "dfg": "SELECT raster_id, r, c FROM m4 WHERE v = 1", **component_steps("dfg", "raster_id", prefix="d"),
+        "dkept": """SELECT * FROM dcomp WHERE (raster_id, component) IN (SELECT (raster_id, component) FROM dcomp
+          GROUP BY raster_id, component HAVING count(*) >= 8)""",
+    }
+
+
+PIXEL_SCORED = f"SELECT x.pair_id, r, c, abs({_GN} - {_GO}) AS d, {_LIMIT} AS lim FROM pair_pixels x JOIN usable u ON u.pair_id = x.pair_id"
+_STRUCTURE_SCORED = f"SELECT s.pair_id, r, c, d, {_LIMIT} AS lim FROM ssim s JOIN usable u ON u.pair_id = s.pair_id"
+
+
+def _difference_sql(score: str, more: str = "") -> str:
+    return f"""SELECT p.pair_id, {_GATE} AS error_code, CASE WHEN a.pair_id IS NOT NULL THEN CAST(coalesce(k.n, 0) AS BIGINT) END AS changed_pixels,
+        {score} AS model_score{more}
+        FROM pairs p LEFT JOIN (SELECT pair_id, avg(d) AS mean_all FROM scored GROUP BY 1) a ON a.pair_id = p.pair_id
+        LEFT JOIN (SELECT s.pair_id, count(*) AS n, avg(d) AS mean_in FROM scored s JOIN dkept k ON k.raster_id = s.pair_id
+          AND k.cell = s.r * 4294967296 + s.c GROUP BY 1) k ON k.pair_id = p.pair_id"""
+
+
 @query("image_difference", O.sql(
-    f"""SELECT u.pair_id, CAST(coalesce(k.n, 0) AS BIGINT) AS changed_pixels,
-        {O.r6('coalesce(k.mean_in, 1 - a.mean_all)')} AS model_score, CAST(u.score < 0.55e0 AS INTEGER) AS reduced
-        FROM usable u JOIN (SELECT pair_id, avg(d) AS mean_all FROM scored GROUP BY 1) a ON a.pair_id = u.pair_id
-        LEFT JOIN (SELECT s.pair_id, count(*) AS n, avg(d) AS mean_in FROM scored s JOIN kept k ON k.pair_id = s.pair_id
-          AND k.cell = s.r * 4294967296 + s.c GROUP BY 1) k ON k.pair_id = u.pair_id""",
-    "pair_pixels", "pairs",
-    extra={"usable": USABLE,
-           "scored": f"SELECT x.pair_id, r, c, abs({_GN} - {_GO}) AS d, {_LIMIT} AS lim FROM pair_pixels x JOIN usable u ON u.pair_id = x.pair_id",
-           "fg": "SELECT pair_id, r, c FROM scored WHERE d >= lim",
-           **component_steps("fg", "pair_id"),
-           "kept": """SELECT * FROM comp WHERE (pair_id, component) IN (SELECT (pair_id, component) FROM comp GROUP BY pair_id, component
-             HAVING count(*) >= 8)"""}))
+    _difference_sql(O.r6("coalesce(k.mean_in, 1 - a.mean_all)"), ", CASE WHEN a.pair_id IS NOT NULL THEN CAST(p.score < 0.55e0 AS INTEGER) END AS reduced"),
+    "pair_pixels", "pairs", extra={"usable": USABLE, **difference_steps(PIXEL_SCORED)}))
 def image_difference(spark: SparkSession, root: str) -> DataFrame:
-    cfg = {**C.IMAGE_DIFFERENCE, "kernel": 1}
-    _labels, result = D.image_difference(B.pair_pixels(spark, root), B.pairs(spark, root), "pixel", 3, cfg)
-    return result.select("pair_id", "changed_pixels", round6(F.col("model_score")).alias("model_score"),
-                         flag(F.size("warnings") > 0).alias("reduced"))
+    _labels, result = D.image_difference(B.pair_pixels(spark, root), B.pairs(spark, root))
+    return result.select("pair_id", F.coalesce("error_code", F.lit("")).alias("error_code"), "changed_pixels",
+                         round6(F.col("model_score")).alias("model_score"), flag(F.size("warnings") > 0).alias("reduced"))
 
 
 @query("structural_change", O.sql(
-    f"""SELECT u.pair_id, CAST(coalesce(k.n, 0) AS BIGINT) AS changed_pixels, round(coalesce(k.mean_in, 1 - a.mean_all), 5) AS model_score
-        FROM usable u JOIN (SELECT pair_id, avg(d) AS mean_all FROM ssim GROUP BY 1) a ON a.pair_id = u.pair_id
-        LEFT JOIN (SELECT s.pair_id, count(*) AS n, avg(d) AS mean_in FROM ssim s JOIN kept k ON k.raster_id = s.pair_id
-          AND k.cell = s.r * 4294967296 + s.c GROUP BY 1) k ON k.pair_id = u.pair_id""",
-    "pair_pixels", "pairs",
-    extra={"usable": USABLE, **_gauss_steps(),
-           "m0": f"""SELECT s.pair_id AS raster_id, r, c, CASE WHEN d >= {_LIMIT} THEN 1 ELSE 0 END AS v FROM ssim s
-             JOIN usable u ON u.pair_id = s.pair_id""",
-           "m1": _square("min", "m0", 1), "m2": _square("max", "m1", 1),
-           "m3": _square("max", "m2", 1), "m4": _square("min", "m3", 1),
-           "fg": "SELECT raster_id, r, c FROM m4 WHERE v = 1", **component_steps("fg", "raster_id"),
-           "kept": """SELECT * FROM comp WHERE (raster_id, component) IN (SELECT (raster_id, component) FROM comp
-             GROUP BY raster_id, component HAVING count(*) >= 8)"""}))
+    _difference_sql("round(coalesce(k.mean_in, 1 - a.mean_all), 5)"), "pair_pixels", "pairs",
+    extra={"usable": USABLE, **_gauss_steps(), **difference_steps(_STRUCTURE_SCORED)}))
 def structural_change(spark: SparkSession, root: str) -> DataFrame:
     _labels, result = D.image_difference(B.pair_pixels(spark, root), B.pairs(spark, root), "structural")
-    return result.select("pair_id", "changed_pixels", F.round("model_score", 5).alias("model_score"))
+    return result.select("pair_id", F.coalesce("error_code", F.lit("")).alias("error_code"), "changed_pixels",
+                         F.round("model_score", 5).alias("model_score"))
 
 
 MASK_STEPS = {
@@ -202,14 +209,15 @@ def mask_difference(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("changed_area", O.sql(
-    """SELECT u.pair_id, coalesce(a, 0) AS added_pixels, coalesce(d, 0) AS removed_pixels, k AS common_pixels,
+    f"""SELECT p.pair_id, {_GATE} AS error_code, v.* EXCLUDE (pair_id) FROM pairs p LEFT JOIN (
+       SELECT u.pair_id, coalesce(a, 0) AS added_pixels, coalesce(d, 0) AS removed_pixels, k AS common_pixels,
        coalesce(a, 0) * 4e0 AS added_area, coalesce(d, 0) * 4e0 AS removed_area FROM usable u
        JOIN (SELECT pair_id, count(*) FILTER (common) AS k FROM cells GROUP BY 1) n ON n.pair_id = u.pair_id
        LEFT JOIN (SELECT pair_id, count(*) FILTER (kind = 1) AS a, count(*) FILTER (kind = 2) AS d FROM labelled GROUP BY 1) l
-         ON l.pair_id = u.pair_id""", "pair_pixels", "pairs", extra=MASK_STEPS))
+         ON l.pair_id = u.pair_id) v ON v.pair_id = p.pair_id""", "pair_pixels", "pairs", extra=MASK_STEPS))
 def changed_area(spark: SparkSession, root: str) -> DataFrame:
     px, pairs = B.pair_pixels(spark, root), B.pairs(spark, root)
-    return D.changed_area(D.mask_difference(px, pairs), px, pairs)
+    return D.changed_area(D.mask_difference(px, pairs), px, pairs).withColumn("error_code", F.coalesce("error_code", F.lit("")))
 
 
 # ---------------------------------------------------------------- footprints
