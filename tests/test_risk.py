@@ -176,3 +176,17 @@ def test_links_equal_brute_force_on_a_crowded_parcel(spark):
     for r in m:
         got.setdefault(r["group_root"], []).append(r["complaint_id"])
     assert sorted(sorted(v) for v in got.values()) == want
+
+
+def test_changes_without_keys_keep_their_rows(spark):
+    import datetime as dt
+
+    from landshift.operators import temporal as T
+    day = dt.date(2024, 5, 1)
+    changes = spark.createDataFrame(
+        [("a", "p", 1, day), ("b", None, 1, day), ("c", "p", None, day), ("d", "p", 1, None), ("e", "q", 1, day)],
+        "change_id string, parcel_id string, plan_version int, capture_date date")
+    permits = spark.createDataFrame([("m", "p", 1, dt.date(2024, 1, 1), dt.date(2024, 12, 31))],
+                                    "permit_id string, parcel_id string, plan_version int, valid_from date, valid_until date")
+    got = {r["change_id"]: r["permit_status"] for r in T.permit_at_capture(changes, permits).collect()}
+    assert got == {"a": "valid_match", "b": "no_match", "c": "wrong_plan_version", "d": "no_match", "e": "no_match"}
