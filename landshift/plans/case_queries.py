@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landshift.functions import constants as K
-from landshift.functions.scalars import decimals, request_key, round2, round6
+from landshift.functions.scalars import request_key, round2, round6
 from landshift.operators import cases as L, change as D, evaluate as E
 from landshift.operators.ranking import global_rank
 from landshift.plans import oracle as O

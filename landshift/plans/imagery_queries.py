@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.functions import boxes as G, constants as C
+from landshift.functions import constants as C
 from landshift.functions.scalars import round6
 from landshift.operators import curate as U, quality as Q, raster as R, registration as M, spatial as S
 from landshift.plans import oracle as O
 from landshift.plans.evidence import pair_evidence as evidence_plan
-from landshift.plans.raster_queries import FOOTPRINT_STEPS, LUMA, MASK_STEPS, SEG, _mirror, _seg_logit, component_steps, sigmoid
+from landshift.plans.raster_queries import FOOTPRINT_STEPS, LUMA, MASK_STEPS, SEG, _mirror, _seg_logit, sigmoid
 from landshift.plans.risk_queries import flag, uuid_sql
 from landshift.sources import bindings as B
 

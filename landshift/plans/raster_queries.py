@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.functions import constants as C
 from landshift.functions.scalars import round6
 from landshift.operators import change as D, raster as R
 from landshift.plans import oracle as O

@@ -190,3 +190,35 @@ def test_changes_without_keys_keep_their_rows(spark):
                                     "permit_id string, parcel_id string, plan_version int, valid_from date, valid_until date")
     got = {r["change_id"]: r["permit_status"] for r in T.permit_at_capture(changes, permits).collect()}
     assert got == {"a": "valid_match", "b": "no_match", "c": "wrong_plan_version", "d": "no_match", "e": "no_match"}
+
+
+def test_box_links_of_all_sizes_equal_brute_force(spark):
+    import numpy as np
+
+    from landshift.operators.components import connected_components
+    from landshift.operators.nearby import box_links
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(250):
+        w, h = 10.0 ** rng.uniform(-1, 3.7, 2) if i % 5 else (0.0, 0.0)
+        x, y = rng.uniform(-2e4, 2e4, 2)
+        rows.append((i, (x, y, x + w, y + h)))
+    near = lambda p, q: np.hypot(max(0, p[0] - q[2], q[0] - p[2]), max(0, p[1] - q[3], q[1] - p[3])) <= 5.0
+    root = list(range(250))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, p in rows:
+        for j, q in rows[:i]:
+            if near(p, q):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    boxes = spark.createDataFrame(
+        [(i, dict(zip(("min_x", "min_y", "max_x", "max_y"), map(float, b)))) for i, b in rows],
+        "id long, box struct<min_x: double, min_y: double, max_x: double, max_y: double>")
+    links = box_links(boxes, 5.0)
+    assert all(near(dict(rows)[r["src"]], dict(rows)[r["dst"]]) for r in links.collect())
+    got = {r["vertex"]: r["component"] for r in connected_components(links, boxes.select(boxes.id.alias("vertex"))).collect()}
+    assert got == {i: find(i) for i in range(250)} and len(set(got.values())) < 245
