@@ -36,11 +36,15 @@ def with_overlap_metrics(counts: DataFrame) -> DataFrame:
 
 def boundary_f1(pred: DataFrame, key: R.Key, by: list[str], tolerance: int = K.BOUNDARY_TOLERANCE) -> DataFrame:
     """F1 of mask boundaries within a tolerance. Needs the full grid of 0/1 predicted and target."""
-    grid = pred
-    for name in ("predicted", "target"):
-        grid = R.erode(grid, name, 1, key, out="_e").withColumn(f"_b_{name}", F.col(name) - F.col("_e")).drop("_e")
-    for name in ("predicted", "target"):
-        grid = R.dilate(grid, f"_b_{name}", tolerance, key, out=f"_n_{name}")
+    names, rows, cols = ("predicted", "target"), R.along_row(key), R.along_col(key)
+
+    def slide(df: DataFrame, fn, source: str, out: str, spec, radius: int) -> DataFrame:
+        return df.select("*", *[fn(f"{source}{n}").over(spec.rangeBetween(-radius, radius)).alias(f"{out}{n}") for n in names])
+
+    # both masks share each pass, and passes along columns follow each other: three shuffles in all
+    grid = slide(slide(pred, F.min, "", "_h_", rows, 1), F.min, "_h_", "_e_", cols, 1)
+    grid = grid.select("*", *[(F.col(n) - F.col(f"_e_{n}")).alias(f"_b_{n}") for n in names])
+    grid = slide(slide(grid, F.max, "_b_", "_w_", cols, tolerance), F.max, "_w_", "_n_", rows, tolerance)
     bp, bt = F.col("_b_predicted") == 1, F.col("_b_target") == 1
     c = grid.groupBy(*by).agg(
         F.count_if(bp & (F.col("_n_target") == 1)).alias("_ph"), F.count_if(bp).alias("_p"),

@@ -130,7 +130,7 @@ def gaussian5(df: DataFrame, values: list[str], key: Key, sigma: float = 1.0) ->
 def runs(pixels: DataFrame, key: Key) -> DataFrame:
     """Adds ``run``: one number per run of adjacent pixels in a row (row and first column)."""
     rw = along_row(key)
-    starts = F.when(F.coalesce(F.lag("col").over(rw), F.lit(-2)) != F.col("col") - 1, F.col("col"))
+    starts = F.when(~F.lag("col").over(rw).eqNullSafe(F.col("col") - 1), F.col("col"))
     first = F.last(F.col("_s"), ignorenulls=True).over(rw.rowsBetween(Window.unboundedPreceding, 0))
     return pixels.withColumn("_s", starts).withColumn("_s", first).withColumn(
         "run", F.shiftleft(F.col("row").cast("long"), 32) + F.col("_s")
@@ -168,21 +168,26 @@ def component_footprints(
     """Outer outlines of a foreground as numbers: bounds, pixels and outline area, in pixels and map units.
 
     ``extents``: key, width, height, transform (six affine values), factor (square metres per unit).
-    Holes and what lies in them belong to the outer shape: background that does not reach the
-    border is filled first. The outline runs through pixel centres; its area is the number of full
-    2x2 blocks plus half of those with three pixels, which also holds for one-pixel spurs.
+    Holes and what lies in them belong to the outer shape. A hole lies within one 8-connected component, so
+    only the bounding box of each component, one pixel wider, is looked at: what does not reach that
+    frame without crossing the component is filled. The outline runs through pixel centres; its area is
+    the number of full 2x2 blocks plus half of those with three pixels, which also holds for one-pixel spurs.
     """
     k = list(key)
-    cells = extents.select(*k, F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("row"),
-                           "width", "height").select(
-        *k, "row", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("col"), "width", "height")
-    back = cells.join(pixels.select(*k, "row", "col").distinct(), [*k, "row", "col"], "left_anti")
-    ground = cut_lineage(pixel_components(back, key, connectivity=4))
-    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("height") - 1) | (F.col("col") == F.col("width") - 1)
-    open_ground = ground.where(edge).select(*k, "component").distinct()
-    outside = ground.join(open_ground, [*k, "component"], "left_semi").select(*k, "row", "col")
-    used = pixels.select(*k).distinct()
-    filled = cells.join(used, k, "left_semi").select(*k, "row", "col").join(outside, [*k, "row", "col"], "left_anti")
+    front = cut_lineage(pixel_components(pixels.select(*k, "row", "col").distinct(), key, connectivity=8)).select(
+        *k, F.col("component").alias("_of"), "row", "col")
+    frames = front.groupBy(*k, "_of").agg(
+        (F.min("row") - 1).alias("_r0"), (F.max("row") + 1).alias("_r1"),
+        (F.min("col") - 1).alias("_c0"), (F.max("col") + 1).alias("_c1"))
+    # a component without room for a hole is done
+    frames = frames.where((F.col("_r1") - F.col("_r0") >= 4) & (F.col("_c1") - F.col("_c0") >= 4))
+    cells = frames.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    back = cells.join(front, [*k, "_of", "row", "col"], "left_anti")
+    ground = cut_lineage(pixel_components(back, (*key, "_of"), connectivity=4))
+    edge = F.col("row").isin(F.col("_r0"), F.col("_r1")) | F.col("col").isin(F.col("_c0"), F.col("_c1"))
+    open_ground = ground.where(edge).select(*k, "_of", "component").distinct()
+    holes = ground.join(open_ground, [*k, "_of", "component"], "left_anti").select(*k, "row", "col")
+    filled = front.select(*k, "row", "col").unionByName(holes).distinct()
     shapes = cut_lineage(pixel_components(filled, key, connectivity=8))
     corners = F.explode(F.array(*[
         F.struct((F.col("row") - a).alias("r"), (F.col("col") - b).alias("c")) for a in (0, 1) for b in (0, 1)]))
