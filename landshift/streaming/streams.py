@@ -24,24 +24,40 @@ _NAMES = [part.split()[0] for part in ACTION_COLUMNS.split(", ")]
 _JUDGED_NAMES = [part.split()[0] for part in JUDGED_COLUMNS.split(", ")]
 
 
+ROWS_OUT = 10_000
+LATE = "LATE_SEQUENCE"
+
+
 class CaseProcessor(StatefulProcessor):
-    """Keeps the current state of a case and judges arriving actions by their sequence."""
+    """Keeps the current state of a case and the last sequence number, and judges arriving actions in order.
+
+    The rows of a trigger are put in order; their number is bounded by the source's limit per trigger. An
+    action whose number is not above the last one came too late and is refused, as the actions after it
+    are judged already.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("case", ", ".join(f"{k} {v}" for k, v in STATE.items()))
+        self._state = handle.getValueState("case", ", ".join(f"{k} {v}" for k, v in STATE.items()) + ", last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self._state.get() if self._state.exists() else None
-        state = None if kept is None else dict(zip(STATE, kept))
-        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
-        for row in arrived[_NAMES].to_dict("records"):
-            state, verdict = judge_action(state, row)
-            after = [None] * len(STATE) if state is None else [_none(state[k]) for k in STATE]
-            out.append([row[n] for n in _NAMES] + list(verdict.values()) + after)
-        if state is not None:
-            self._state.update(tuple(state[k] for k in STATE))
-        yield pd.DataFrame(out, columns=_JUDGED_NAMES)
+        state, last = None, None
+        if self._state.exists():
+            *kept, last = self._state.get()
+            state = dict(zip(STATE, kept)) if kept[0] is not None else None
+        arrived = pd.concat([part[_NAMES] for part in rows]).sort_values("seq", kind="stable")
+        for a in range(0, len(arrived), ROWS_OUT):
+            out = []
+            for row in arrived.iloc[a:a + ROWS_OUT].to_dict("records"):
+                seq = _none(row["seq"])
+                if last is not None and (seq is None or seq <= last):
+                    verdict = {"error_code": LATE, "previous_status": None if state is None else state["status"]}
+                else:
+                    state, verdict = judge_action(state, row)
+                    last = last if seq is None else int(seq)
+                after = [None] * len(STATE) if state is None else [_none(state[k]) for k in STATE]
+                out.append([row[n] for n in _NAMES] + list(verdict.values()) + after)
+            yield pd.DataFrame(out, columns=_JUDGED_NAMES)
+        self._state.update((*[None if state is None else state[k] for k in STATE], last))
 
     def close(self) -> None:
         pass
@@ -58,6 +74,16 @@ def case_stream(actions: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    """Actions that changed or confirmed a case."""
+    return judged.where("error_code is null")
+
+
+def refused(judged: DataFrame) -> DataFrame:
+    """The side output: refused actions with their codes, late ones included."""
+    return judged.where("error_code is not null")
+
+
 def metrics_stream(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts and total seconds per code and time window; late rows beyond the delay are dropped."""
     return (

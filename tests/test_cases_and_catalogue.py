@@ -148,3 +148,27 @@ def test_leakage_is_reported_and_splits_do_not_leak(spark):
         "id", "region_group", "split", "named_struct('min_x', b[0], 'min_y', b[1], 'max_x', b[2], 'max_y', b[3]) as box")
     assert [(r["group_id"], r["error_code"]) for r in U.split_leakage(df).collect()] == [("t1", "SPLIT_LEAKAGE")]
     assert U.split_leakage(U.geographic_splits(df.drop("split")).drop("group_id")).count() == 0
+
+
+def test_case_stream_over_two_triggers_equals_the_fold(spark, tmp_path):
+    from landshift.streaming import streams as T
+    log = [("create", "", *SUP), ("transition", "TRIAGED", *SUP), ("assign", "", *SUP), ("transition", "UNDER_REVIEW", *INS), ("note", "", *INS)]
+    whole = actions(spark, *log)
+    cols = [c.split()[0] for c in T.ACTION_COLUMNS.split(", ")]
+    whole.where("seq < 3").select(*cols).coalesce(1).write.parquet(str(tmp_path / "in"))
+    late = whole.where("seq = 1")
+    whole.where("seq >= 3").unionByName(late).select(*cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(whole.select(*cols).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = (T.case_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        query.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    judged = spark.read.parquet(str(tmp_path / "out"))
+    want = {r["seq"]: (r["error_code"], r["after_status"]) for r in L.judge_actions(whole).collect()}
+    got = [r for r in judged.collect() if r["error_code"] != T.LATE]
+    assert {r["seq"]: (r["error_code"], r["after_status"]) for r in got} == want and len(got) == len(log)
+    assert [(r["seq"], r["error_code"]) for r in T.refused(judged).where("seq = 1").collect()] == [(1, T.LATE)]
+    assert T.accepted(judged).count() + T.refused(judged).count() == judged.count()
