@@ -209,12 +209,20 @@ _RING = """'{"type":"Polygon","coordinates":[[[' || x1 || ',' || y0 || '],[' ||
     f"""SELECT record_type, id, '{{"type":"Feature","id":"' || id || '","geometry":' || {_RING}
         || ',"properties":{{"record_type":"' || record_type || '","crs":"EPSG:32643"}}}}' AS feature FROM (
         SELECT 'parcel' AS record_type, parcel_id AS id, px0 AS x0, py0 AS y0, px1 AS x1, py1 AS y1 FROM parcels
+        UNION ALL SELECT 'municipality', municipality_id, min(px0), min(py0), max(px1), max(py1) FROM parcels GROUP BY 2
+        UNION ALL SELECT 'ward', ward_id, min(px0), min(py0), max(px1), max(py1) FROM parcels GROUP BY 2
         UNION ALL SELECT 'approved_footprint', footprint_id, fx0, fy0, fx1, fy1 FROM footprints
         UNION ALL SELECT 'public_boundary', boundary_id, bx, by0, bx, by1 FROM boundaries)""",
     "parcels", "footprints", "boundaries"))
 def geojson_features(spark: SparkSession, root: str) -> DataFrame:
+    parcels, b = B.parcels(spark, root), F.col("box")
+
+    def extent(key: str) -> DataFrame:
+        return parcels.groupBy(key, "crs").agg(
+            G.box(F.min(b["min_x"]), F.min(b["min_y"]), F.max(b["max_x"]), F.max(b["max_y"])).alias("box"))
+
     return K.geojson_features({
-        "parcels": B.parcels(spark, root), "approved_footprints": B.approved_footprints(spark, root),
+        "municipalities": extent("municipality_id"), "wards": extent("ward_id"), "parcels": parcels, "approved_footprints": B.approved_footprints(spark, root),
         "public_boundaries": B.public_boundaries(spark, root)})
 
 

@@ -267,28 +267,28 @@ def plan_comparison(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("plan_comparison_cells", O.sql(
-    f"""SELECT c.parcel_id, {O.r6(O.inter('f'))} AS approved_area, {O.r6(O.inter('b'))} AS old_area,
+    f"""SELECT c.footprint_id, {O.r6(O.inter('f'))} AS approved_area, {O.r6(O.inter('b'))} AS old_area,
         {O.r6(O.inter('g'))} AS new_area,
         {O.r6(O.inter('g') + ' - ' + O.inter('g', 'b'))} AS added_area,
         {O.r6(O.inter('g') + ' - ' + O.inter('g', 'b') + ' - ' + O.inter('g', 'f') + ' + ' + O.inter('g', 'b', 'f'))}
           AS added_outside_approval_area,
         {O.r6(O.inter('f', 'b') + ' - ' + O.inter('f', 'b', 'g'))} AS removed_approved_area
         FROM shapes c""",
-    "footprints", extra={"shapes": """SELECT parcel_id, fx0, fy0, fx1, fy1, fx0 + 2 AS bx0, fy0 AS by0, fx1 - 6 AS bx1, fy1 AS by1,
-        fx0 + 1 AS gx0, fy0 + 3 AS gy0, fx1 + 4 AS gx1, fy1 AS gy1 FROM footprints WHERE footprint_id LIKE 'fp-%'"""}))
+    "footprints", extra={"shapes": """SELECT footprint_id, fx0, fy0, fx1, fy1, fx0 + 2 AS bx0, fy0 AS by0, fx1 - 6 AS bx1, fy1 AS by1,
+        fx0 + 1 AS gx0, fy0 + 3 AS gy0, fx1 + 4 AS gx1, fy1 AS gy1 FROM footprints"""}))
 def plan_comparison_cells(spark: SparkSession, root: str) -> DataFrame:
     b = F.col("box")
-    shapes = B.approved_footprints(spark, root).where(F.col("footprint_id").startswith("fp-")).select(
-        "parcel_id", F.explode(F.array(
+    shapes = B.approved_footprints(spark, root).select(
+        "footprint_id", F.explode(F.array(
             F.struct(F.lit("approved").alias("src"), b.alias("shape")),
             F.struct(F.lit("old").alias("src"),
                      G.box(b["min_x"] + 2, b["min_y"], b["max_x"] - 6, b["max_y"]).alias("shape")),
             F.struct(F.lit("new").alias("src"),
                      G.box(b["min_x"] + 1, b["min_y"] + 3, b["max_x"] + 4, b["max_y"]).alias("shape")),
-        )).alias("s")).select("parcel_id", "s.src", "s.shape")
+        )).alias("s")).select("footprint_id", "s.src", "s.shape")
     cells = S.box_cells(shapes, "shape", 1.0)
-    return S.plan_comparison_cells(cells, ["parcel_id"], 1.0).select(
-        "parcel_id", *[round6(F.col(n)).alias(n) for n in (
+    return S.plan_comparison_cells(cells, ["footprint_id"], 1.0).select(
+        "footprint_id", *[round6(F.col(n)).alias(n) for n in (
             "approved_area", "old_area", "new_area", "added_area", "added_outside_approval_area",
             "removed_approved_area")])
 
