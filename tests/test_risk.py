@@ -222,3 +222,26 @@ def test_box_links_of_all_sizes_equal_brute_force(spark):
     assert all(near(dict(rows)[r["src"]], dict(rows)[r["dst"]]) for r in links.collect())
     got = {r["vertex"]: r["component"] for r in connected_components(links, boxes.select(boxes.id.alias("vertex"))).collect()}
     assert got == {i: find(i) for i in range(250)} and len(set(got.values())) < 245
+
+
+def test_catalogue_on_disk_feeds_the_assessment(spark, tmp_path):
+    from landshift.plans.assess import assess_catalogue, no_polygon_results
+    from landshift.sources import bindings as B, catalogue as K
+    root = "/root/testdata/sf0.001"
+    hot = B.changes(spark, root).where("parcel_id in ('parcel-1', 'parcel-2', 'parcel-4')").limit(40)
+    far = hot.limit(20).withColumn("change_id", F.concat(F.lit("far-"), "change_id")).withColumn(
+        "box", F.col("box").withField("min_x", F.lit(9e6)).withField("max_x", F.lit(9e6 + 5)))
+    tables = {"changes": hot.unionByName(far), "complaints": B.complaints(spark, root).limit(50)}
+    tables |= {n: getattr(B, n)(spark, root) for n in ("parcels", "approved_footprints", "permits", "rule_sets", "public_boundaries")}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    done = assess_catalogue(spark, str(tmp_path)).collect()
+    assert len(done) == tables["changes"].count() == len({r["change_id"] for r in done})
+    assert {r["error_code"] for r in done if r["change_id"].startswith("far-")} == {"NO_PARCEL_MATCH"}
+    assert any(r["score"] is not None for r in done)
+    tables["parcels"].drop("zone").write.mode("overwrite").parquet(str(tmp_path / "parcels.parquet"))
+    with pytest.raises(K.SchemaMismatch):
+        assess_catalogue(spark, str(tmp_path))
+    pairs = spark.createDataFrame([("a",), ("b",)], "pair_id string")
+    none = no_polygon_results(pairs, pairs.where("pair_id = 'a'")).collect()
+    assert [(r["pair_id"], r["level"], r["case_id"]) for r in none] == [("b", "LOW", None)]
