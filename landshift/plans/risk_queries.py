@@ -134,13 +134,23 @@ def rule_compatibility(spark: SparkSession, root: str) -> DataFrame:
         "change_id", F.col("rule_set_id").alias("asked_id"), F.coalesce("error_code", F.lit("")).alias("error_code"))
 
 
+_CASE_ID = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+    || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)
+    FROM (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST('{p}:' || {k} AS BLOB)) AS h))"""
+
+
+def uuid_sql(prefix: str, key: str) -> str:
+    return _CASE_ID.replace("{p}", prefix).replace("{k}", key)
+
+
 @query("image_pairs", O.sql(
-    """SELECT old_asset_id, asset_id AS new_asset_id FROM (
-         SELECT asset_id, lag(asset_id) OVER (PARTITION BY municipality_id, ax0, ax1 ORDER BY capture_time) AS old_asset_id
-         FROM (SELECT *, row_number() OVER (PARTITION BY municipality_id, ax0, ax1, capture_time ORDER BY asset_id) AS k
-               FROM assets) WHERE k = 1) WHERE old_asset_id IS NOT NULL""", "assets"))
+    f"""SELECT old_asset_id, new_asset_id, {uuid_sql('image-pair', "old_asset_id || ':' || new_asset_id || ':' || old_sha || ':' || new_sha")} AS image_pair_id FROM (
+         SELECT p.old.id AS old_asset_id, a.asset_id AS new_asset_id, p.old.sha AS old_sha, a.content_sha256 AS new_sha FROM assets a JOIN (
+           SELECT municipality_id, ax0, ax1, capture_time, lag(least) OVER (PARTITION BY municipality_id, ax0, ax1 ORDER BY capture_time) AS old
+           FROM (SELECT municipality_id, ax0, ax1, capture_time, arg_min({{'id': asset_id, 'sha': content_sha256}}, asset_id) AS least
+                 FROM assets GROUP BY ALL)) p USING (municipality_id, ax0, ax1, capture_time) WHERE p.old IS NOT NULL)""", "assets"))
 def image_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return T.image_pairs(B.assets(spark, root), ["municipality_id", "box"]).select("old_asset_id", "new_asset_id")
+    return T.image_pairs(B.assets(spark, root), ["municipality_id", "box"]).select("old_asset_id", "new_asset_id", "image_pair_id")
 
 
 @query("image_pair_check", O.sql(
@@ -484,15 +494,6 @@ def risk_levels(spark: SparkSession, root: str) -> DataFrame:
         "cases", round2(F.col("score_sum")).alias("score_sum"))
 
 
-_CASE_ID = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
-    || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)
-    FROM (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST('{p}:' || {k} AS BLOB)) AS h))"""
-
-
-def uuid_sql(prefix: str, key: str) -> str:
-    return _CASE_ID.replace("{p}", prefix).replace("{k}", key)
-
-
 @query("review_queue", O.sql(
     f"""SELECT 'review-' || substr(sha256(case_id || ':' || rule_set_id), 1, 20) AS queue_item_id, case_id, risk_score,
         risk_level, row_number() OVER (ORDER BY risk_score DESC, case_id) AS queue_rank FROM (
