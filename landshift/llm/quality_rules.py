@@ -16,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import map_batches, ragged, segment_sums, slices, text_bytes
+from landshift.llm.arrow import SLICE_BYTES, map_batches, ragged, segment_sums, slices, text_bytes
 from landshift.llm.bpe import vocabulary
 from landshift.llm.pieces import PieceMemory, distinct, windows, words
 from landshift.session import cut_lineage
@@ -41,14 +41,14 @@ def _fallback(model: str) -> tuple[PieceMemory, np.ndarray]:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
 
-    return PieceMemory(encode, 200_000), is_byte
+    return PieceMemory(encode, 300_000), is_byte
 
 
 @cache
 def _blank_words(path: str) -> PieceMemory:
     """Memory of words after a blank, as merges see them inside a text."""
     v = vocabulary(path)
-    return PieceMemory(lambda found: v.encode([b" " + x for x in found]), 200_000)
+    return PieceMemory(lambda found: v.encode([b" " + x for x in found]), 300_000)
 
 
 def _lines(data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def measure(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, (fallback, is_byte) = _blank_words(merges), _fallback(pieces)
-        for part in slices(batches, text):
+        for part in slices(batches, text, 4 * SLICE_BYTES):  # more repeats to a slice, fewer look-ups
             data, ends = text_bytes(part.column(text))
             starts, lengths, upto = words(data, ends)
             n = np.diff(np.append(0, upto))
