@@ -2,7 +2,7 @@
 
 Two public vocabularies measure every text: byte-level merges give characters per token and the
 entropy of the tokens, a piece vocabulary with byte fallback gives the share of byte tokens. The
-bands of a group (a language) are quartiles of all its documents widened by their distance, so they
+bands of a group (a language) are quartiles of its distinct texts widened by their distance, so they
 follow the corpus; a document outside a band is rejected.
 """
 
@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landshift.llm.arrow import SLICE_BYTES, map_batches, ragged, segment_sums, slices, text_bytes
 from landshift.llm.bpe import vocabulary
@@ -134,16 +134,22 @@ def measure(
     return map_batches(docs.select(*dict.fromkeys([*columns, text])), run, schema)
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def bands(measured: DataFrame, group: str) -> DataFrame:
-    """Per group and measure: outer quartiles and their distance, over all documents with enough words.
+    """Per group and measure: outer quartiles and their distance, over the texts that pass the base rules.
 
-    The distance counts as a fiftieth of the median at least.
+    Rows of one group with equal measures count once, so copies of a text don't move the band. The distance
+    counts as a fiftieth of the median at least.
     """
     def quartiles(c: str) -> list:
         q = F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000)
         return [q[0].alias(f"low_{c}"), q[2].alias(f"high_{c}"), F.greatest(q[2] - q[0], q[1] / 50, F.lit(0.002)).alias(f"gap_{c}")]
 
-    return measured.where(F.col("n_words") >= MIN_WORDS).groupBy(F.col(group).alias("_group")).agg(
+    texts = measured.where(~_base_failed()).select(F.col(group).alias("_group"), *[x.split()[0] for x in MEASURES.split(", ")]).distinct()
+    return texts.groupBy("_group").agg(
         *quartiles("chars_per_token"), *quartiles("byte_share"), *quartiles("token_entropy"))
 
 
@@ -154,7 +160,7 @@ def judge(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
     plain text has longer tokens where the vocabulary happens to know its words. For fewer than ``LENGTH`` words it is wider
     by the root of the ratio, as the spread of a mean over so few words is.
     """
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    base = _base_failed()
     reach = F.lit(width) * F.greatest(F.lit(1.0), F.sqrt(F.lit(float(LENGTH)) / F.greatest(F.col("n_words"), F.lit(1))))
 
     def low(c: str):
