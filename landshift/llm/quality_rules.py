@@ -23,8 +23,9 @@ from landshift.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
-#: Distance of a band's ends from its quartiles, in distances of the quartiles.
-WIDTH, LENGTH = 3.0, 120
+#: Distance of a band's ends from its quartiles, in distances of the quartiles. Of the labelled documents of sf0.1 that
+#: pass the base rules, a width of 2 keeps 3322 of 3330 good and 135 of 301 poor ones, 3 keeps 3330 and 197.
+WIDTH, LENGTH = 2.0, 120
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_entropy double"
 
 

@@ -23,3 +23,8 @@ def test_a_third_of_copies_does_not_move_the_bands(spark, tmp_path, copied):
     copies = docs.where(F.col("doc_id") == copied).crossJoin(spark.range(docs.count() // 2)).withColumn("doc_id", 1_000_000 + F.col("id")).drop("id")
     save(docs.unionByName(copies), tmp_path)
     assert kept_shares(spark, str(tmp_path)) == kept_shares(spark, ROOT)
+
+
+def test_poor_documents_are_rejected_and_clean_ones_kept(spark):
+    good, poor = kept_shares(spark, ROOT)
+    assert good > 0.99 and poor < 0.3
