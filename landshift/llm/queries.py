@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, kd_search, language, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, url_filter
+from landshift.llm import bpe, kd_search, language, line_dedup, mixing, periodic, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_kd_top_k": kd_search.op1_kd_top_k,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
