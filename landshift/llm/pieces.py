@@ -80,13 +80,14 @@ def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     return np.array(found, np.int64), inverse
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the words ``[^\\x20\\x09-\\x0D]+`` and the number of words up to each text's end.
 
-    ``ends``: rows + 1 offsets of the texts in ``data``.
+    ``ends``: rows + 1 offsets of the texts in ``data``; ``table``: other bytes (256 of them) that words consist of.
     """
-    table = np.ones(256, bool)
-    table[BLANKS] = False
+    if table is None:
+        table = np.ones(256, bool)
+        table[BLANKS] = False
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = table[data]
     begins = inside[1:-1] & ~inside[:-2]

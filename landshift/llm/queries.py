@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, kd_search, language, line_dedup, mixing, periodic, quality_model, quality_rules, simhash, token_files, url_filter
+from landshift.llm import bpe, divergence, kd_search, language, line_dedup, mixing, periodic, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_kd_top_k": kd_search.op1_kd_top_k,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": quality_model.op9_quality_classifier,
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
