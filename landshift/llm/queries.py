@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from landshift.llm import bpe, divergence, kd_search, language, line_dedup, mixing, periodic, quality_model, quality_rules, simhash, token_files, url_filter
+from landshift.llm import bpe, divergence, kd_search, language, line_dedup, mixing, periodic, quality_model, quality_rules, secrets, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_kd_top_k": kd_search.op1_kd_top_k,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {

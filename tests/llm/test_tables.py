@@ -26,7 +26,7 @@ def test_query_equals_its_sql_twin(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", x)[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
 
 
 # ---------------------------------------------------------------- top-k
