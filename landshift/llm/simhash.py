@@ -143,6 +143,19 @@ def codewords(segment: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, (segment[:, None] ^ errors) >> 11)
 
 
+def candidate_words(segment: np.ndarray, doubt: np.ndarray, most: int) -> np.ndarray:
+    """Indices (rows x ``most``) of those codewords within four bits whose differing bits add up to the least ``doubt``
+    (rows x 23: how clear each bit is), the least first; -1: none."""
+    remainder, patterns = _golay()
+    errors = patterns[remainder[segment >> 11] ^ (segment & 0x7FF)]
+    cost = np.zeros(errors.shape, np.int64)
+    for bit in range(23):
+        cost += (errors >> bit & 1) * doubt[:, bit:bit + 1]
+    order = np.argsort(np.where(errors < 0, np.iinfo(np.int64).max, cost), axis=1, kind="stable")[:, :most]
+    errors = np.take_along_axis(errors, order, axis=1)
+    return np.where(errors < 0, -1, (segment[:, None] ^ errors) >> 11)
+
+
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, stored) of fingerprints: all keys of every pair of segments; stored: made of both nearest codewords."""
     found = [codewords((prints >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64)) for a, n in SEGMENTS]

@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 import pytest
-from helpers import components, documents, fingerprint, kept_lines, mix_targets, n_words, rows, save
+from helpers import documents, kept_lines, mix_targets, n_words, rows, save
 from oracle_check import compare, connect
+from test_near_dedup import least_ids
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -129,27 +130,29 @@ def plain_pipeline(spark, given, folder):
     sample, _ = quality_model.fit(docs, labels)
     stay = [tuple(r) for r in quality_model.filter_rows(docs, sample).collect()]
     cut = [(r[0], k[2], *r[2:4]) for r, k in zip(stay, kept_lines([r[:2] for r in stay]))]
-    best = components([r[0] for r in cut], [fingerprint(r[1]) for r in cut])
-    one = [r for r, b in zip(cut, best) if r[0] == b]
-    sizes = collections.Counter()
-    for r in one:
-        sizes[r[3]] += n_words(r[1])
-    return one, mix_targets(sizes), sizes
+    return cut, [r[0] == b for r, b in zip(cut, least_ids(cut))]
 
 
 def test_pipeline_equals_plain_stages(spark, tmp_path):
     given = [tuple(r) for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect()] + [(None, None, None, None, None), (9001, "", "en", None, 0), (9002, "word " * 30_000, "en", "src1", 150_000)]
     save(documents(spark, given), tmp_path)
     save(spark.read.parquet(f"{ROOT}/labels.parquet"), tmp_path, "labels")
-    one, targets, sizes = plain_pipeline(spark, given, tmp_path)
+    cut, stays = plain_pipeline(spark, given, tmp_path)
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
         docs = seen[name] = spark.read.parquet(f"{tmp_path}/stage{i}")
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    near = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in seen["simhash_dedup"].collect()]
-    assert collections.Counter(near) == collections.Counter(one)
+    one = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in seen["simhash_dedup"].collect()]
+    assert {r["doc_id"] for r in seen["line_dedup"].collect()} == {r[0] for r in cut}
+    # what no near pair of sets joins stays, and of the others at most a tenth stays wrongly
+    assert collections.Counter(r for r, s in zip(cut, stays) if s) <= collections.Counter(one) <= collections.Counter(cut)
+    assert len(one) - sum(stays) <= 0.1 * (len(cut) - sum(stays))
+    sizes = collections.Counter()
+    for r in one:
+        sizes[r[3]] += n_words(r[1])
+    targets = mix_targets(sizes)
     taken = collections.Counter()
     texts = {r[0]: r[1] for r in one}
     for r in seen["source_mix"].collect():
