@@ -182,6 +182,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encode(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, ids array<int>) of every row. A null or empty text has no ids."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = ["ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab)
@@ -211,8 +212,8 @@ def decode(encoded: DataFrame, vocab: str, id_col: str = "doc_id") -> DataFrame:
     return map_batches(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, text string")
 
 
-def digests(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the bytes decoded from them.
+def digests(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Per row: number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the bytes decoded from them, and the ids.
 
     One row per input row, repeated rows included; a null text counts as empty, a null id stays null.
     """
@@ -230,10 +231,11 @@ def digests(docs: DataFrame, vocab: str, text: str = "text", id_col: str = "doc_
                 pa.array(np.diff(np.append(0, upto)), pa.int64()),
                 pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
                 pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(to, to[1:])], pa.string()),
-            ], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                *(pa.ListArray.from_arrays(pa.array(np.append(0, upto).astype(np.int32)), pa.array(ids.astype(np.int32))) for _ in more),
+            ], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *more])
 
     return map_batches(docs.select(id_col, text),
-        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from landshift.llm.arrow import map_batches, ragged, segment_sums, slices, text_bytes
+from landshift.llm.arrow import fresh, map_batches, ragged, segment_sums, slices, text_bytes
 from landshift.llm.pieces import distinct, words
 
 BUCKETS, ORDERS, SMOOTH = 1 << 14, (1, 2, 3), 0.5
@@ -140,11 +140,14 @@ def predict(
     """Per row: id, lang_pred, score (its proportion), languages (name to proportion).
 
     ``und`` with score 0 for a null text, a text without a letter, or a model without languages.
-    Equal proportions go to the first language by code point. ``keep``: columns that pass through.
+    Equal proportions go to the first language by code point. ``keep``: columns that pass through; a new column that
+    is called like one of them gets another name. Rows are independent, repeated rows and null ids stay; an empty
+    table gives no rows.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double, languages map<string,double>"
+    added = [fresh(columns, c) for c in ("lang_pred", "score", "languages")]
+    schema = ", ".join(f"`{c}` {k}" for c, k in [*((c, kinds[c]) for c in columns), *zip(added, ("string", "double", "map<string,double>"))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,7 @@ def predict(
                 *[part.column(c) for c in columns], pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0)),
                 pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(names[held[:, 1]], pa.string()),
                                         pa.array(share[held[:, 0], held[:, 1]].astype(np.float64))),
-            ], [*columns, "lang_pred", "score", "languages"])
+            ], [*columns, *added])
 
     return map_batches(docs.select(*dict.fromkeys([*columns, text])), run, schema)
 

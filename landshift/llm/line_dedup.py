@@ -311,8 +311,9 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
 
     A null or empty text is one empty line; rows of one id are one document and lose the same lines;
     an empty table gives no rows; other columns pass through. Only keys held by ``min_docs``
-    documents are stored from the counts.
+    documents are stored from the counts. A column that is called like ``name`` stays, the new one gets another name.
     """
+    name = fresh(docs.columns, name)
     posted = cut_lineage(postings(docs, id_col, text))
     repeated = cut_lineage(reference_counts(posted).where(F.col("refs") >= min_docs))
     return apply(docs, dropped_lines(posted, repeated, build_filters(repeated)), id_col, text, name)

@@ -115,8 +115,10 @@ def mix(
 
     A null source is a source of its own, last in order; a null or wordless text has size 0; a source
     without words has target 0; an empty table gives no rows. Rows of one id and source meet the end
-    of a repetition together and share its words in proportion to their sizes.
+    of a repetition together and share its words in proportion to their sizes. A column that is called like ``name`` stays,
+    the new one gets another name.
     """
+    name = fresh(docs.columns, name)
     plans = plan(cut_lineage(size_rows(docs, seed, id_col, text, source)), weights, share, cap)
     return deal(docs, plans, F.col(source), n_words(F.col(text)), seeded_key(id_col, seed), name)
 

@@ -2,7 +2,9 @@
 
 Two generative models of hashed n-grams, one of target texts and one of all texts, give every document
 a log importance weight. The number of documents to keep follows from a cut between labelled good and
-poor documents that took no part in the models, and Gumbel top-k draws that many without replacement.
+poor documents that took no part in the models, and Gumbel top-k draws that many without replacement, with
+chances in proportion to exp(weight / temperature). The temperature is a share of the distance from the cut to the middle good
+document, so documents near the cut are drawn by chance and those far from it are nearly certain by their weight.
 A document's log weight is tempered by its length: the mean over its n-grams, drawn towards zero for
 few of them, times a fixed number. A sum would let a small bias of the models outgrow everything in a
 long text. Weights are whole numbers of 1/1024, so they don't depend on how rows are batched.
@@ -28,7 +30,8 @@ TEXT_BUCKETS, SHAPE_BUCKETS, UNIT, SMOOTH = 1 << 12, 1 << 12, 1024, 4.0
 MAX_LABELLED, FOLDS = 20_000, 2
 #: N-grams that a text counts as having besides its own, and the length that a mean is scaled to.
 SHRINK, LENGTH = 300, 1000
-TEMPERATURE, SEED = 0.1, 29
+#: Share of the distance from the cut to the median weight of good labelled documents that is the temperature.
+NOISE, SEED = 0.1, 29
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -87,6 +90,7 @@ class Model:
 
     ratio: np.ndarray | None
     cut: float = float("-inf")
+    temperature: float = 1.0
 
 
 def labelled(labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -170,10 +174,10 @@ def best_cut(weights: np.ndarray, good: np.ndarray, harm: float = 5.0) -> float:
     return float(w[-1]) + 1 if i == len(w) else (float(w[i - 1]) + float(w[i])) / 2
 
 
-def gumbel_key(weight: Column, id_col: str, seed: int = SEED) -> Column:
-    """Log weight with seeded Gumbel noise; the k largest keys are a sample without replacement."""
+def gumbel_key(weight: Column, id_col: str, temperature: float, seed: int = SEED) -> Column:
+    """Log weight over temperature with seeded Gumbel noise; the k largest keys are a sample without replacement."""
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return weight / UNIT + F.lit(TEMPERATURE) * -F.log(-F.log(u))
+    return weight / (UNIT * temperature) - F.log(-F.log(u))
 
 
 @dataclass
@@ -182,12 +186,15 @@ class Sample:
 
     model: Model
     last: float
+    seed: int = SEED
 
     def keep(self, weight: Column, id_col: str) -> Column:
-        return gumbel_key(weight, id_col) >= F.lit(self.last)
+        return gumbel_key(weight, id_col, self.model.temperature, self.seed) >= F.lit(self.last)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_LABELLED) -> tuple[Sample, DataFrame]:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_LABELLED, seed: int = SEED,
+) -> tuple[Sample, DataFrame]:
     """Models, cut and the key of the k-th document; also the stored (id, weight) of every row.
 
     k: the documents whose weight is above the cut. Without labels of both kinds every document stays.
@@ -205,14 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     seen = map_batches(weighed, mine, "id long, _weight long").groupBy("id").agg(F.max("_weight").alias("w")).toArrow()
     good = np.array([held[i] for i in seen.column("id").to_pylist()])
     if model.ratio is None or not (0 < (good > 0).sum() < len(good)):
-        return Sample(model, float("-inf")), weighed
-    model.cut = best_cut(seen.column("w").to_numpy(), good)
-    keyed = weighed.select(gumbel_key(F.col("_weight"), "id").alias("key"), (F.col("_weight") > model.cut).alias("above"))
+        return Sample(model, float("-inf"), seed), weighed
+    held_weights = seen.column("w").to_numpy()
+    model.cut = best_cut(held_weights, good)
+    model.temperature = max(NOISE * (float(np.median(held_weights[good > 0])) - model.cut), 1.0) / UNIT
+    keyed = weighed.select(gumbel_key(F.col("_weight"), "id", model.temperature, seed).alias("key"), (F.col("_weight") > model.cut).alias("above"))
     k = keyed.agg(F.count(F.when(F.col("above"), 1))).first()[0]
     if not k:
-        return Sample(model, float("inf")), weighed
+        return Sample(model, float("inf"), seed), weighed
     last = global_rank(keyed.select("key"), [F.col("key").desc()], "place").where(F.col("place") == k).first()["key"]
-    return Sample(model, last), weighed
+    return Sample(model, last, seed), weighed
 
 
 def filter_rows(docs: DataFrame, sample: Sample, id_col: str = "doc_id", text: str = "text") -> DataFrame:

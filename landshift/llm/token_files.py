@@ -9,6 +9,7 @@ the tail of the file and then only the frames that hold the documents it wants.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -155,7 +156,6 @@ def _pieces(vocab: str) -> PieceMemory:
     from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(vocab)
-    tokenizer.encode_special_tokens = True
     split = tokenizer.pre_tokenizer
     if isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and tokenizer.normalizer is None:
         # a piece needs no more cutting: its bytes, written in the byte alphabet, go straight to the merges
@@ -174,6 +174,42 @@ def _pieces(vocab: str) -> PieceMemory:
     return PieceMemory(encode, 400_000)
 
 
+@cache
+def _added(vocab: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """Pattern and ids of the file's added tokens: a text is cut at them before anything else, as the library does."""
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(vocab).get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+        raise ValueError(f"{vocab} has added tokens that take blanks with them")
+    ids = {t.content.encode(): i for i, t in tokens.items()}
+    longest = sorted(ids, key=len, reverse=True)
+    return (re.compile(b"|".join(map(re.escape, longest))) if ids else None), ids
+
+
+def token_ids(memory: PieceMemory, vocab: str, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts on end and their number up to each text's end; strings of added tokens are these tokens."""
+    pattern, known = _added(vocab)
+    raw = data.tobytes() if pattern is not None else b""
+    found = [(a + int(s), b + int(s), known[raw[a + s:b + s]]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())
+             for a, b in (m.span() for m in pattern.finditer(raw[s:e]))] if pattern is not None and pattern.search(raw) else []
+    if not found:
+        return memory.tokens(data, *cut(data, ends))
+    start, stop, token = (np.array(x, np.int64) for x in zip(*found))
+    bounds = np.unique(np.concatenate([ends, start, stop]))
+    special = np.isin(bounds[:-1], start)
+    rest = np.ones(len(data), bool)
+    rest[ragged(start, stop - start)] = False
+    plain = np.append(0, np.cumsum(np.where(special, 0, np.diff(bounds))))
+    data = data[rest]
+    ids, upto = memory.tokens(data, *cut(data, plain))
+    counts = np.where(special, 1, np.diff(np.append(0, upto)))
+    out = np.empty(int(counts.sum()), np.uint32)
+    own = np.repeat(special, counts)
+    out[own], out[~own] = token, ids
+    return out, np.append(0, np.cumsum(counts))[np.searchsorted(bounds, ends[1:])]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter of every byte in byte-level vocabularies: itself where it prints, else the next above 255."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -204,7 +240,7 @@ def write(docs: DataFrame, vocab: str, end_id: int, folder: str, text: str = "te
                 out = fs.open_output_stream(path, compression=None)
                 writer = Writer(out)
             data, ends = text_bytes(chunk.column(text))
-            ids, upto = memory.tokens(data, *cut(data, ends))
+            ids, upto = token_ids(memory, vocab, data, ends)
             counts = np.diff(np.append(0, upto))
             whole = np.full(len(ids) + len(counts), end_id, np.uint32)
             whole[ragged(np.cumsum(counts + 1) - counts - 1, counts)] = ids

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from helpers import documents, kept_lines, mix_targets, n_words, rows, save
 from oracle_check import compare, connect
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from landshift.llm import kd_search, queries, quality_model, url_filter
+from landshift.llm import bpe, kd_search, queries, quality_model, url_filter
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -161,8 +162,10 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes if sizes[s])
     mixed = collections.Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in seen["source_mix"].collect())
     assert mixed == collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in docs.collect())
+    back = bpe.decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).collect()
+    assert collections.Counter(r["text"] for r in back) == collections.Counter(r["text"] for r in seen["source_mix"].collect())
     whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert collections.Counter(map(tuple, whole.collect())) == collections.Counter(map(tuple, docs.collect()))
+    assert collections.Counter(map(repr, whole.collect())) == collections.Counter(map(repr, docs.collect()))
 
 
 def test_pipeline_on_awkward_rows(spark, tmp_path):
@@ -170,4 +173,4 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
         folder = tmp_path / str(i)
         save(documents(spark, given, extra=True), folder)
         save(spark.createDataFrame([(j, int(j % 3 > 0), 0) for j in range(50 if given else 0)], "doc_id bigint, quality int, toxic int"), folder, "labels")
-        assert corpus_pipeline.run(spark, str(folder)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert corpus_pipeline.run(spark, str(folder)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
