@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landshift.functions import boxes as G
 from landshift.functions.scalars import codes
+from landshift.operators.rings import ring_faults
 from landshift.session import cut_lineage
 
 KEYS = {
@@ -20,6 +21,10 @@ KEYS = {
     "inspectors": "inspector_id", "inspection_cases": "case_id", "public_boundaries": "boundary_id",
 }
 
+#: Entities that may carry an outline, and the box that stands for it.
+RINGED = {
+    "municipalities": "box", "wards": "box", "parcels": "box", "approved_footprints": "box", "inspection_cases": "observed_footprint",
+}
 ENTITY_ID = r"^[a-z0-9][a-z0-9._-]+$"
 HEX64 = r"^[0-9a-f]{64}$"
 
@@ -59,6 +64,18 @@ def _bad_geometry(column: str = "box") -> Column:
     return _reason("contract", (~G.is_valid(F.col(column)), "INVALID_GEOMETRY"))
 
 
+def _without_rings(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables with an outline ``ring``: the box of a faulty ring is void, so its geometry fails the contract. Boxes alone stay as they are."""
+    out = dict(tables)
+    for name, column in RINGED.items():
+        if name in out and "ring" in out[name].columns:
+            df = out[name].withColumn("_ring", F.xxhash64(KEYS[name], F.to_json("ring")))
+            faulty = ring_faults(df.select("_ring", "ring").dropDuplicates(["_ring"]), "_ring").withColumn("_faulty", F.lit(True))
+            void = F.when(F.col("_faulty").isNull(), F.col(column))
+            out[name] = df.join(faulty.drop("fault"), "_ring", "left").withColumn(column, void).drop("_ring", "_faulty")
+    return out
+
+
 def _inside_parent(df: DataFrame, parent: DataFrame, on: str, missing: str, outside: str) -> DataFrame:
     """Contract check, then parent exists and is valid, same CRS, and covers the child."""
     joined = _attach(df, _parent(parent, on, "p", "box", "crs"), "p", on)
@@ -97,6 +114,7 @@ def _permit_dates(at: Column) -> Column:
 def judge(tables: dict[str, DataFrame], at: Column) -> dict[str, DataFrame]:
     """Every entity with ``_r``: struct(reason, stage) of its rejection, or null."""
     out: dict[str, DataFrame] = {}
+    tables = _without_rings(tables)
     out["municipalities"] = _settle(tables["municipalities"], _bad_geometry())
     out["public_boundaries"] = _settle(tables["public_boundaries"], _reason(
         "contract", (F.col("box")["min_x"] > F.col("box")["max_x"], "INVALID_GEOMETRY")))

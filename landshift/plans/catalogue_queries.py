@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landshift.functions import boxes as G
 from landshift.functions.metadata import has_sensitive_key, safe_metadata_json, uri_has_secrets
 from landshift.functions.scalars import round6
-from landshift.operators import spatial as S, validate as V
+from landshift.operators import rings as R, spatial as S, validate as V
 from landshift.plans import oracle as O
 from landshift.plans.risk_queries import flag
 from landshift.sources import bindings as B, catalogue as K
@@ -263,3 +263,47 @@ def latest_merge(spark: SparkSession, root: str) -> DataFrame:
 def bundle_state(spark: SparkSession, root: str) -> DataFrame:
     orders = B.table(spark, root, "orders").select(F.col("o_orderkey").alias("bundle_id"), "o_orderstatus")
     return K.bundle_state(orders.where("o_orderstatus <> 'F'"), orders.where("o_orderstatus <> 'P'"))
+
+
+#: Rings of every customer: a slanted polygon round a centre, and by key a bow-tie, an open ring, a point met twice, a fold, a flat one.
+_RING_OF = """WITH base AS (SELECT c_custkey AS k, 40.0 * (c_custkey % 100) AS cx, 40.0 * (c_custkey // 100) AS cy FROM customer),
+p AS (SELECT k, i, CASE
+    WHEN k % 11 = 3 AND i IN (1, 2) THEN 3 - i WHEN k % 11 = 5 AND i = 5 THEN 4 WHEN k % 11 = 6 AND i = 4 THEN 1
+    WHEN k % 11 = 7 AND i = 3 THEN 1 WHEN k % 11 = 9 AND i > 1 THEN 3 - i ELSE i % 5 END AS turn, cx, cy
+    FROM base, (SELECT unnest(range(0, 6)) AS i)),
+pts AS (SELECT k, i, cx + [10, 4, -7, -8, 3][1 + ((turn + 5) % 5)] + k % 3 AS x, cy + [1, 9, 6, -5, -9][1 + ((turn + 5) % 5)] AS y FROM p)"""
+
+
+def _customer_rings(spark: SparkSession, root: str) -> DataFrame:
+    k = F.col("c_custkey")
+    m = k % 11
+    xs, ys = F.array(*map(F.lit, (10, 4, -7, -8, 3))), F.array(*map(F.lit, (1, 9, 6, -5, -9)))
+
+    def point(i: Column) -> Column:
+        turn = (
+            F.when((m == 3) & i.isin(1, 2), 3 - i).when((m == 5) & (i == 5), 4).when((m == 6) & (i == 4), 1)
+            .when((m == 7) & (i == 3), 1).when((m == 9) & (i > 1), 3 - i).otherwise(i % 5))
+        at = (turn + 5) % 5
+        return F.struct(
+            (40.0 * (k % 100) + F.get(xs, at) + k % 3).cast("double").alias("x"),
+            (40.0 * F.floor(k / 100) + F.get(ys, at)).cast("double").alias("y"))
+
+    return spark.read.parquet(f"{root}/customer.parquet").select(
+        F.format_string("ring-%06d", k).alias("ring_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), point).alias("ring"))
+
+
+@query("ring_faults", _RING_OF + """, e AS (SELECT k, i, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM pts a JOIN (SELECT k, i - 1 AS i, x, y FROM pts) b USING (k, i)
+    WHERE a.x <> b.x OR a.y <> b.y),
+n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, x0, y0, x1, y1 FROM e),
+t AS (SELECT a.k, bool_or(CASE WHEN b.i = a.i + 1 OR (a.i = 0 AND b.i = a.n - 1)
+      THEN (a.x1 - a.x0) * (b.y1 - b.y0) = (a.y1 - a.y0) * (b.x1 - b.x0) AND (a.x1 - a.x0) * (b.x1 - b.x0) + (a.y1 - a.y0) * (b.y1 - b.y0) < 0
+      ELSE greatest(least(a.x0, a.x1), least(b.x0, b.x1)) <= least(greatest(a.x0, a.x1), greatest(b.x0, b.x1))
+       AND greatest(least(a.y0, a.y1), least(b.y0, b.y1)) <= least(greatest(a.y0, a.y1), greatest(b.y0, b.y1))
+       AND ((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * ((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) <= 0
+       AND ((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * ((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) <= 0 END) AS crossed
+    FROM n a JOIN n b ON a.k = b.k AND a.i < b.i GROUP BY 1),
+r AS (SELECT k, max(n) AS n, abs(sum(x0 * y1 - x1 * y0)) AS area2, arg_max(x1, i) <> arg_min(x0, i) OR arg_max(y1, i) <> arg_min(y0, i) AS open FROM n GROUP BY 1)
+SELECT format('ring-{:06d}', k) AS ring_id, CASE WHEN n < 3 THEN 'NOT_A_RING' WHEN open THEN 'OPEN' WHEN area2 <= 0 THEN 'NO_AREA' ELSE 'CROSSING' END AS fault
+FROM r LEFT JOIN t USING (k) WHERE n < 3 OR open OR area2 <= 0 OR crossed""")
+def ring_faults(spark: SparkSession, root: str) -> DataFrame:
+    return R.ring_faults(_customer_rings(spark, root), "ring_id")
