@@ -10,7 +10,9 @@ from landshift.functions.scalars import round6
 from landshift.operators import rings as R, spatial as S, validate as V
 from landshift.plans import oracle as O
 from landshift.plans.risk_queries import flag
+from landshift.session import scratch_path
 from landshift.sources import bindings as B, catalogue as K
+from landshift.sources.publish import BundleStore
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -307,3 +309,24 @@ SELECT format('ring-{:06d}', k) AS ring_id, CASE WHEN n < 3 THEN 'NOT_A_RING' WH
 FROM r LEFT JOIN t USING (k) WHERE n < 3 OR open OR area2 <= 0 OR crossed""")
 def ring_faults(spark: SparkSession, root: str) -> DataFrame:
     return R.ring_faults(_customer_rings(spark, root), "ring_id")
+
+
+@query("published_bundles", """WITH b AS (SELECT o_orderkey AS k, o_orderdate < DATE '1995-06-17' AS early, o_orderstatus <> 'F' AS result, o_orderstatus <> 'P' AS has_case,
+      o_totalprice AS price FROM orders),
+    s AS (SELECT k, price, early AND result AND has_case AS first, CASE WHEN early AND result AND has_case THEN 'STORED' WHEN NOT result THEN 'RESULT_MISSING'
+      WHEN NOT has_case THEN 'CASE_MISSING' ELSE 'NEW' END AS state FROM b)
+    SELECT k AS bundle_id, state, CASE WHEN state IN ('STORED', 'NEW') THEN price + CASE WHEN first THEN 0 ELSE 1 END END AS score,
+      state IN ('STORED', 'NEW') AS published FROM s""")
+def published_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """Early orders are published first; then all of them come again with other scores, of which only new whole bundles count."""
+    orders = spark.read.parquet(f"{root}/orders.parquet").select(F.col("o_orderkey").alias("bundle_id"), "o_orderdate", "o_orderstatus", "o_totalprice")
+    store = BundleStore(spark, scratch_path(spark, "bundles"))
+    early = orders.where("o_orderdate < date'1995-06-17'")
+    halves = lambda rows, more: (
+        rows.where("o_orderstatus <> 'F'").select("bundle_id", (F.col("o_totalprice") + more).alias("score")),
+        rows.where("o_orderstatus <> 'P'").select("bundle_id", F.col("o_orderstatus").alias("status")))
+    store.publish(*halves(early, 0))
+    states = store.publish(*halves(orders, 1))
+    shown = store.read("results").join(store.read("cases"), "bundle_id")
+    return states.join(shown, "bundle_id", "left").select(
+        "bundle_id", "state", "score", F.col("status").isNotNull().alias("published"))
