@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landshift.functions import boxes as G
 from landshift.functions.scalars import request_key, round6, uuid5_url
-from landshift.operators import complaints as C, risk as R, spatial as S, temporal as T
+from landshift.operators import complaints as C, outlines as U, risk as R, spatial as S, temporal as T
 from landshift.plans import oracle as O
 from landshift.plans.assess import assess_changes, grouped_complaints
 from landshift.sources import bindings as B
@@ -303,6 +303,54 @@ def plan_comparison_cells(spark: SparkSession, root: str) -> DataFrame:
             "removed_approved_area")])
 
 
+#: Corners of the slanted shapes that the outline query compares, as offsets from a footprint's sides.
+_SLANTED = {
+    "old": ((1.25, 2.75), (-6.25, 0.75), (-3.75, -2.25), (2.75, -1.5)),
+    "new": ((-3.25, 2.75), (2.25, -3.5), (4.75, -1.25), (1.75, 3.25)),
+}
+
+
+def _slanted_sql(name: str) -> str:
+    """Whether a cell's centre lies left of all four sides of the shape, which turns to the left."""
+    at = [(f"({'fx0' if i in (0, 3) else 'fx1'} + {dx})", f"({'fy0' if i < 2 else 'fy1'} + {dy})") for i, (dx, dy) in enumerate(_SLANTED[name])]
+    return " AND ".join(
+        f"({bx} - {ax}) * (cy + 0.5 - {ay}) - ({by} - {ay}) * (cx + 0.5 - {ax}) > 0" for (ax, ay), (bx, by) in zip(at, at[1:] + at[:1]))
+
+
+@query("plan_comparison_outlines", O.sql(
+    f"""SELECT footprint_id, {O.r6('count(*) FILTER (a)')} AS approved_area, {O.r6('count(*) FILTER (o)')} AS old_area,
+        {O.r6('count(*) FILTER (n)')} AS new_area, {O.r6('count(*) FILTER (n AND NOT o)')} AS added_area,
+        {O.r6('count(*) FILTER (n AND NOT o AND NOT a)')} AS added_outside_approval_area,
+        {O.r6('count(*) FILTER (a AND o AND NOT n)')} AS removed_approved_area,
+        {O.r6('count(*) FILTER (n AND p AND NOT i)')} AS setback_zone_area,
+        {O.r6('count(*) FILTER (n AND p) / ((px1 - px0) * (py1 - py0))')} AS site_coverage_ratio
+        FROM (SELECT *, cx + 0.5 > fx0 AND cx + 0.5 < fx1 AND cy + 0.5 > fy0 AND cy + 0.5 < fy1 AS a,
+            cx + 0.5 > px0 AND cx + 0.5 < px1 AND cy + 0.5 > py0 AND cy + 0.5 < py1 AS p,
+            cx + 0.5 > px0 + 5 AND cx + 0.5 < px1 - 5 AND cy + 0.5 > py0 + 5 AND cy + 0.5 < py1 - 5 AS i,
+            {_slanted_sql('old')} AS o, {_slanted_sql('new')} AS n
+          FROM (SELECT *, unnest(range(CAST(floor(fy0) AS BIGINT) - 5, CAST(floor(fy1) AS BIGINT) + 6)) AS cy
+            FROM (SELECT f.footprint_id, fx0, fy0, fx1, fy1, px0, py0, px1, py1,
+                unnest(range(CAST(floor(fx0) AS BIGINT) - 5, CAST(floor(fx1) AS BIGINT) + 6)) AS cx
+              FROM footprints f JOIN parcels p ON p.parcel_id = f.parcel_id))) GROUP BY footprint_id, px0, py0, px1, py1""",
+    "footprints", "parcels"))
+def plan_comparison_outlines(spark: SparkSession, root: str) -> DataFrame:
+    """Slanted old and new outlines of every footprint against its plan and its parcel."""
+    f, p = F.col("f"), F.col("p")
+
+    def ring(box: Column, offsets: tuple = ((0, 0),) * 4) -> Column:
+        side = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")]
+        at = [F.struct((box[x] + dx).cast("double").alias("x"), (box[y] + dy).cast("double").alias("y")) for (x, y), (dx, dy) in zip(side, offsets)]
+        return F.array(*at, at[0])
+
+    rows = B.approved_footprints(spark, root).select("footprint_id", "parcel_id", F.col("box").alias("f")).join(
+        B.parcels(spark, root).select("parcel_id", "setback_m", F.col("box").alias("p")), "parcel_id")
+    rings = {"approved": ring(f), "parcel": ring(p), **{s: ring(f, _SLANTED[s]) for s in _SLANTED}}
+    shapes = rows.select("footprint_id", "setback_m", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("src"), r.alias("ring")) for s, r in rings.items()])).alias("s")).select("footprint_id", "setback_m", "s.src", "s.ring")
+    found = U.plan_comparison_outlines(shapes, ["footprint_id"], 1.0)
+    return found.select("footprint_id", *[round6(F.col(c)).alias(c) for c in found.columns if c not in ("footprint_id", "cell_m")])
+
+
 HITS = """SELECT c.change_id, b.boundary_id FROM changes c JOIN boundaries b
     ON b.bx >= c.nx0 AND b.bx <= c.nx1 AND b.by0 <= c.ny1 AND b.by1 >= c.ny0"""
 
