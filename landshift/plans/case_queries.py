@@ -463,7 +463,7 @@ def model_mismatches(spark: SparkSession, root: str) -> DataFrame:
     parts = B.table(spark, root, "part")
     limits = F.array(F.lit(0.0), F.lit(20.0))
     crs = F.array(F.lit("EPSG:32643"))
-    models = B.table(spark, root, "supplier").where("s_suppkey < 49").select(
+    models = B.table(spark, root, "supplier").select(
         F.col("s_suppkey").alias("artifact_id"), F.lit("seg").alias("model_name"), F.lit("1").alias("model_version"),
         F.lit("z").alias("normalization"), crs.alias("required_crs"), limits.alias("supported_resolution_m"))
     asked = parts.select(
