@@ -2,20 +2,22 @@
 
 Edges are first contracted on the way: every task replaces a stretch of edges by the stars that span the
 same components. Graphs that fall into scopes (one raster, one parcel) are sorted by scope before,
-so nearly all scopes are done then. What is still open goes through alternating large-star and
-small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) until every
-vertex has one label that is its own root. The path is the same for every size.
+so nearly all scopes are done then. While a vertex has two labels or a label that is no root, the stored stars are
+contracted again in as many stretches as their number asks for, which spans the tasks of the pass before, and what is open
+after that goes through a large-star and a small-star step (Kiveris et al., "Connected Components in MapReduce and
+Beyond", 2014). The path is the same for every size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from landshift.session import cut_lineage
+from landshift.session import store
 
 #: Edges that a task holds at once; a longer stretch is contracted in pieces.
 HELD_EDGES = 200_000
@@ -53,6 +55,7 @@ def _stars(part: pd.DataFrame, scope: list[str]) -> pd.DataFrame:
 
 
 def _contracted(edges: DataFrame, scope: list[str], held: int) -> DataFrame:
+    """The stars of every stretch of ``held`` edges, in the order in which tasks meet them."""
     cols = [*scope, "src", "dst"]
     types = dict(edges.dtypes)
 
@@ -68,10 +71,7 @@ def _contracted(edges: DataFrame, scope: list[str], held: int) -> DataFrame:
         if size:
             yield _stars(pd.concat(waiting), scope)
 
-    rows = edges.select(*cols)
-    if scope:
-        rows = rows.repartition(*scope).sortWithinPartitions(*scope)
-    return rows.mapInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in cols))
+    return edges.select(*cols).mapInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in cols))
 
 
 def _open(edges: DataFrame, scope: list[str]) -> bool:
@@ -82,6 +82,12 @@ def _open(edges: DataFrame, scope: list[str]) -> bool:
     return bool(per.agg(F.max(((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).cast("int"))).first()[0])
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct edges as a stored table, and their number."""
+    kept, seen = store(edges.distinct(), n=F.count(F.lit(1)))
+    return kept, seen["n"]
+
+
 def _star_round(current: DataFrame, s: list[str]) -> DataFrame:
     both = current.unionByName(current.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy(*s, "src").agg(F.least(F.col("src"), F.min("dst")).alias("m"))
@@ -96,7 +102,6 @@ def _star_round(current: DataFrame, s: list[str]) -> DataFrame:
         .select(*s, F.col("dst").alias("src"), F.col("m").alias("dst"))
         .where(F.col("src") != F.col("dst"))
         .unionByName(lowest.select(*s, "src", F.col("m").alias("dst")))
-        .distinct()
     )
 
 
@@ -110,9 +115,16 @@ def connected_components(
     component.
     """
     s = list(scope)
-    current = cut_lineage(_contracted(edges.where(F.col("src") != F.col("dst")), s, held).distinct())
+    given = edges.where(F.col("src") != F.col("dst"))
+    if s:
+        given = given.select(*s, "src", "dst").repartition(*s).sortWithinPartitions(*s)
+    current, n = _stored(_contracted(given, s, held))
     while _open(current, s):
-        current = cut_lineage(_star_round(current, s))
+        # Files of the pass before are read in longer stretches, without a shuffle of their own.
+        current, n = _stored(_contracted(current.coalesce(max(1, math.ceil(n / held))), s, held))
+        if not _open(current, s):
+            break
+        current, n = _stored(_star_round(current, s))
     labels = current.select(*s, F.col("src").alias("vertex"), F.col("dst").alias("component"))
     roots = current.select(*s, F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct()
     known = labels.unionByName(roots)

@@ -56,6 +56,17 @@ def test_star_rounds_equal_contraction_at_once(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, c))
 
 
+def test_hub_and_chain_over_many_tasks(spark):
+    """A hub of a third of all edges, a chain through shuffled ids and loose pairs, over 32 tasks that hold 40 edges."""
+    ids = random.Random(5).sample(range(1000, 2000), 200)
+    edges = [(7, v) for v in range(100, 300)] + list(zip(ids, ids[1:])) + [(v, v + 1) for v in range(3000, 3400, 2)]
+    random.Random(6).shuffle(edges)
+    given = spark.createDataFrame(edges, "src bigint, dst bigint").repartition(32)
+    got = {r["vertex"]: r["component"] for r in connected_components(given, held=40).collect()}
+    want = {7: 7, **dict.fromkeys(range(100, 300), 7), **dict.fromkeys(ids, min(ids))}
+    assert got == want | {v: v - v % 2 for v in range(3000, 3400)}
+
+
 def window(a, fn, r):
     h, w = a.shape
     return np.array([[fn(a[max(0, i - r): i + r + 1, max(0, j - r): j + r + 1]) for j in range(w)] for i in range(h)])
