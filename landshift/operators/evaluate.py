@@ -170,11 +170,25 @@ def compare_methods(predictions: dict[str, DataFrame], truth: DataFrame, pairs:
 
 # ---------------------------------------------------------------- training
 
-def _logit(weights: list[float], bias: float) -> Column:
-    z: Column = F.lit(0.0)
-    for i, w in enumerate(weights):
-        z = z + F.col(f"x{i}") * F.lit(float(w))
-    return z + F.lit(float(bias))
+def _logit(width: int, weights: list[float], bias: float) -> Column:
+    """Score of a row. The weights stand in an array literal, which compiled code takes as data: every epoch runs the same code."""
+    xs = F.array(*[F.col(f"x{i}") for i in range(width)], F.col("one"))
+    terms = F.zip_with(xs, F.lit([*map(float, weights), float(bias)]), lambda x, w: x * w)
+    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+
+
+def _log_loss_terms(p: Column) -> Column:
+    q, t = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p)), F.col("target")
+    return -(t * F.log(q) + (1 - t) * F.log(1 - q))
+
+
+def _epoch(table: DataFrame, width: int, weights: list[float], bias: float, row_weight: Column, sums: dict | None = None) -> dict:
+    """One job: the gradient's sums g0.. and g over rows weighted by ``row_weight``, and ``sums`` over the columns p and loss."""
+    rows = table.withColumn("p", logistic(_logit(width, weights, bias)))
+    rows = rows.select("*", ((F.col("p") - F.col("target")) * row_weight).alias("err"), _log_loss_terms(F.col("p")).alias("loss"))
+    return rows.agg(
+        *[F.sum(F.col("err") * F.col(f"x{i}")).alias(f"g{i}") for i in range(width)], F.sum("err").alias("g"),
+        *[F.sum(c).alias(name) for name, c in (sums or {}).items()]).first().asDict()
 
 
 def _compressed(features: DataFrame, width: int, extra: list[str], weights: dict[str, Column]) -> DataFrame:
@@ -184,7 +198,7 @@ def _compressed(features: DataFrame, width: int, extra: list[str], weights: dict
     every epoch reads the short table.
     """
     xs = [f"x{i}" for i in range(width)]
-    return cut_lineage(features.groupBy(*xs, "target", *extra).agg(*[w.alias(n) for n, w in weights.items()]))
+    return cut_lineage(features.groupBy(*xs, "target", *extra).agg(*[w.alias(n) for n, w in weights.items()], F.lit(1.0).alias("one")))
 
 
 def train_logistic(features: DataFrame, width: int, rate: float = K.SIAMESE["rate"], epochs: int = K.SIAMESE["epochs"]) -> dict:
@@ -202,8 +216,7 @@ def train_logistic(features: DataFrame, width: int, rate: float = K.SIAMESE["rat
     denominator = total["q"] + heavy * total["p"]
     w, b = [0.0] * width, 0.0
     for _ in range(epochs):
-        err = (logistic(_logit(w, b)) - F.col("target")) * row_weight
-        g = table.agg(*[F.sum(err * F.col(f"x{i}")).alias(f"g{i}") for i in range(width)], F.sum(err).alias("g")).first()
+        g = _epoch(table, width, w, b, row_weight)
         w = [wi - rate * g[f"g{i}"] / denominator for i, wi in enumerate(w)]
         b -= rate * g["g"] / denominator
     return {"weights": w, "bias": b, "positive_weight": heavy}
@@ -239,17 +252,15 @@ def train_segmentation(pixels: DataFrame, bands: list[str], rate: float = K.SEGM
         raise ValueError("training and validation splits are both required")
     w, b = [0.0] * len(bands), 0.0
     best, kept, waited, history = math.inf, (w, b), 0, []
-    train = F.col("split") == "train"
+    train, share = F.col("split") == "train", F.col("loss") * F.col("share")
+    sums = {"t": F.when(train, share), "v": F.when(~train, share)}
+    n = counts["train"][0]
+    # The losses after an epoch and the next epoch's gradient belong to the same weights and come from one job.
+    found = _epoch(table, len(bands), w, b, F.when(train, F.col("n")), sums)
     for _ in range(epochs):
-        err = F.when(train, (logistic(_logit(w, b)) - F.col("target")) * F.col("n"))
-        g = table.agg(*[F.sum(err * F.col(f"x{i}")).alias(f"g{i}") for i in range(len(bands))], F.sum(err).alias("g")).first()
-        n = counts["train"][0]
-        w = [wi - rate * g[f"g{i}"] / n for i, wi in enumerate(w)]
-        b -= rate * g["g"] / n
-        p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), logistic(_logit(w, b))))
-        t = F.col("target")
-        loss = -(t * F.log(p) + (1 - t) * F.log(1 - p)) * F.col("share")
-        found = table.agg(F.sum(F.when(train, loss)).alias("t"), F.sum(F.when(~train, loss)).alias("v")).first()
+        w = [wi - rate * found[f"g{i}"] / n for i, wi in enumerate(w)]
+        b -= rate * found["g"] / n
+        found = _epoch(table, len(bands), w, b, F.when(train, F.col("n")), sums)
         history.append((found["t"] / counts["train"][1], found["v"] / counts["validation"][1]))
         if history[-1][1] < best - min_delta:
             best, kept, waited = history[-1][1], (w, b), 0
