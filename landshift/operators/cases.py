@@ -223,7 +223,7 @@ def lineage_levels(evidence: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- listing and checks
 
 def filter_cases(cases: DataFrame, **filters) -> DataFrame:
-    """Equality filters by column name, plus created_from and created_until; None is ignored."""
+    """Filters by column name: a value, or a list of which one must fit; created_from and created_until. None is ignored."""
     out = cases
     for name, value in filters.items():
         if value is None:
@@ -232,6 +232,8 @@ def filter_cases(cases: DataFrame, **filters) -> DataFrame:
             out = out.where(F.col("created_at") >= F.lit(value).cast("timestamp"))
         elif name == "created_until":
             out = out.where(F.col("created_at") <= F.lit(value).cast("timestamp"))
+        elif isinstance(value, (list, tuple, set)):
+            out = out.where(F.col(name).isin(list(value)))
         else:
             out = out.where(F.col(name) == value)
     return out

@@ -59,51 +59,81 @@ def cross_split_duplicates(items: DataFrame, content: str) -> DataFrame:
     return per.groupBy(content).agg(F.sum("_n").alias("items"), F.count("*").alias("splits")).where("splits > 1")
 
 
-def sample_violations(pixels: DataFrame, meta: DataFrame, key: str = "pair_id", labels: int = 5) -> DataFrame:
-    """Contract codes of every sample: size, class range, binary masks, label state, registration.
+def sample_violations(
+    pixels: DataFrame, meta: DataFrame, key: str = "pair_id", labels: int = 5, bands: list[str] | None = None,
+) -> DataFrame:
+    """Contract codes of every sample: size, class range, binary masks, content hash, label state, registration.
 
-    ``meta``: key, width, height, label_quality, transform_plausible, overlap_ratio.
+    ``meta``: key, width, height, label_quality, transform_plausible, overlap_ratio and, where ``bands`` are given,
+    pair_sha256, which must be the hash of these bands; a missing hash is a mismatch.
     """
     seen = pixels.groupBy(key).agg(
         F.count("*").alias("_n"), F.max("row").alias("_r"), F.max("col").alias("_c"),
         F.min("target").alias("_t0"), F.max("target").alias("_t1"),
         F.max(F.when(~F.col("old_mask").isin(0, 1) | ~F.col("new_mask").isin(0, 1), 1).otherwise(0)).alias("_m"))
+    if bands is None:
+        meta = meta.withColumn("_other", F.lit(False))
+    else:
+        counted = pair_hash(pixels, bands, key).withColumnRenamed("pair_sha256", "_counted")
+        meta = meta.join(counted, key, "left").withColumn("_other", ~F.col("pair_sha256").eqNullSafe(F.col("_counted"))).drop("_counted")
     c = F.col
     found = codes(
         (c("_n").isNull() | (c("_n") != c("width") * c("height")) | (c("_r") != c("height") - 1)
          | (c("_c") != c("width") - 1), "DIMENSIONS"),
         ((c("_t0") < 0) | (c("_t1") > labels), "UNSUPPORTED_LABELS"),
         (c("_m") > 0, "MASK_NOT_BINARY"),
+        (c("_other"), "PAIR_HASH_MISMATCH"),
         (c("label_quality") == "rejected", "LABEL_REJECTED"),
         (~c("transform_plausible") | (c("overlap_ratio") <= 0), "REGISTRATION_INVALID"),
     )
     out = meta.join(seen, key, "left").withColumn("violations", found).withColumn("first_code", F.get("violations", F.lit(0)))
-    return out.drop("_n", "_r", "_c", "_t0", "_t1", "_m")
+    return out.drop("_n", "_r", "_c", "_t0", "_t1", "_m", "_other")
 
 
 def dataset_report(pixels: DataFrame, meta: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Counts as (kind, name, n): samples per split, pixels per class, empty samples."""
-    splits = meta.groupBy(F.col("split").alias("name")).agg(F.count("*").alias("n")).select(F.lit("split").alias("kind"), "name", "n")
-    classes = pixels.groupBy(F.col("target").cast("string").alias("name")).agg(F.count("*").alias("n")).select(
-        F.lit("class").alias("kind"), "name", "n")
-    empty = pixels.groupBy(key).agg(F.max("target").alias("_t")).agg(
-        F.lit("empty").alias("kind"), F.lit("samples").alias("name"), F.count_if(F.col("_t") == 0).alias("n"))
-    return splits.unionByName(classes).unionByName(empty)
+    """Counts as (kind, name, n, ratio): samples per split, pixels per class, empty samples, labelled pixels.
 
-
-def tile_hash(pixels: DataFrame, bands: list[str], key: str = "raster_id") -> DataFrame:
-    """Content hash of a raster over its ordered pixels, in two levels.
+    The ratio of the labelled pixels is the coverage; other rows, and a table without pixels, have none. Pixels are counted
+    per sample and class once; the rest reads that short table.
+    """
+    none = F.lit(None).cast("double").alias("ratio")
+    splits = meta.groupBy(F.col("split").alias("name")).agg(F.count("*").alias("n")).select(F.lit("split").alias("kind"), "name", "n", none)
+    per = cut_lineage(pixels.groupBy(key, "target").agg(F.count("*").alias("n")))
+    classes = per.groupBy(F.col("target").cast("string").alias("name")).agg(F.sum("n").alias("n")).select(
+        F.lit("class").alias("kind"), "name", "n", none)
+    empty = per.groupBy(key).agg(F.max("target").alias("_t")).agg(
+        F.lit("empty").alias("kind"), F.lit("samples").alias("name"), F.count_if(F.col("_t") == 0).alias("n"), none)
+    labelled = F.coalesce(F.sum(F.when(F.col("target") != 0, F.col("n"))), F.lit(0))
+    coverage = per.agg(
+        F.lit("coverage").alias("kind"), F.lit("labelled").alias("name"), labelled.alias("n"), (labelled / F.sum("n")).alias("ratio"))
+    return splits.unionByName(classes).unionByName(empty).unionByName(coverage)
+
+
+def raster_hashes(pixels: DataFrame, images: dict[str, list[str]], key: str) -> DataFrame:
+    """Content hashes of the images of ``key`` over their ordered pixels, in two levels; ``images``: bands by name.
 
     Each row of pixels is hashed on its own, then the row hashes in order, so at most one image
-    row (and one list of row hashes) is held at a time.
+    row (and one list of row hashes) is held at a time. The images of one key share their shuffles.
     """
-    cell = F.concat_ws(",", *[F.col(b).cast("string") for b in bands])
-    rows = pixels.groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("v")))).alias("_p")).select(
-        key, "row", F.size("_p").alias("_w"), sha256(F.array_join(F.transform("_p", lambda p: p["v"]), ";")).alias("_h"))
-    return rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("row", "_h"))).alias("_r"), F.max("_w").alias("width")
-    ).select(key, sha256(F.concat_ws("|", F.size("_r").cast("string"), F.col("width").cast("string"),
-                                     F.array_join(F.transform("_r", lambda r: r["_h"]), ""))).alias("tile_sha256"))
+    cells = [F.concat_ws(",", *[F.col(b).cast("string") for b in bands]).alias(name) for name, bands in images.items()]
+    rows = pixels.groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct("col", *cells))).alias("_p")).select(
+        key, "row", F.size("_p").alias("_w"),
+        *[sha256(F.array_join(F.col(f"_p.{name}"), ";")).alias(name) for name in images])
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", *images))).alias("_r"), F.max("_w").alias("_width"))
+    size = F.concat_ws("|", F.size("_r").cast("string"), F.col("_width").cast("string"))
+    return whole.select(key, *[
+        sha256(F.concat_ws("|", size, F.array_join(F.col(f"_r.{name}"), ""))).alias(name) for name in images])
+
+
+def tile_hash(pixels: DataFrame, bands: list[str], key: str = "raster_id") -> DataFrame:
+    """Content hash of every raster."""
+    return raster_hashes(pixels, {"tile_sha256": bands}, key)
+
+
+def pair_hash(pixels: DataFrame, bands: list[str], key: str = "pair_id") -> DataFrame:
+    """Content hash of every pair: the hash of its old and its new image's hash. ``pixels``: key, row, col, old_ and new_ bands."""
+    both = raster_hashes(pixels, {side: [f"{side}_{b}" for b in bands] for side in ("old", "new")}, key)
+    return both.select(key, sha256(F.concat_ws("|", "old", "new")).alias("pair_sha256"))
 
 
 def channel_stats(pixels: DataFrame, bands: list[str]) -> DataFrame:

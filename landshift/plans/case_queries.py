@@ -314,6 +314,32 @@ def case_page(spark: SparkSession, root: str) -> DataFrame:
     return page.select("case_id", "status", "score")
 
 
+_NUMBER = "CAST(regexp_extract(s.case_id, '(\\d+)$', 1) AS BIGINT)"
+
+
+@query("case_listing", O.sql(
+    """SELECT 'page' AS kind, case_id, status, inspector_id, score, NULL AS n FROM (SELECT * FROM found ORDER BY score DESC, case_id LIMIT 20 OFFSET 2)
+       UNION ALL SELECT 'total', NULL, NULL, NULL, NULL, count(*) FROM found""", "actions",
+    extra={**_LIST, "found": f"""SELECT s.case_id, s.status, s.inspector_id, l.score FROM snaps s JOIN listed l ON l.case_id = s.case_id
+        JOIN (SELECT case_id, min(minute) AS created FROM judged WHERE seq >= 0 AND error_code IS NULL AND action = 'create' GROUP BY 1) t
+          ON t.case_id = s.case_id
+        WHERE {_NUMBER} % 2 = 1 AND {_NUMBER} % 3 < 2 AND l.score >= 25 AND s.status <> 'UNDER_REVIEW'
+          AND created >= 30 AND created <= 2 * 24 * 60"""}))
+def case_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Filters of the listing together, with the total beside the page."""
+    k = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
+    cases = _listable(spark, root).select(
+        "*", F.concat(F.lit("mun-"), (k % 2).cast("string")).alias("municipality_id"),
+        F.concat(F.lit("ward-"), (k % 3).cast("string")).alias("ward_id"),
+        F.when(F.col("score") >= 25, "HIGH").otherwise("LOW").alias("level"))
+    page, total = L.list_cases(
+        cases, offset=2, limit=20, municipality_id="mun-1", ward_id=["ward-0", "ward-1"], level="HIGH",
+        status=["ASSIGNED", "TRIAGED"], created_from="2024-03-01 00:30:00", created_until="2024-03-03 00:00:00")
+    return page.select(F.lit("page").alias("kind"), "case_id", "status", "inspector_id", "score", F.lit(None).cast("long").alias("n")).unionByName(
+        total.select(F.lit("total").alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("case_id", "string"), ("status", "string"), ("inspector_id", "string"), ("score", "long"))], F.col("total").alias("n")))
+
+
 @query("case_ranking", O.sql(
     "SELECT case_id, status, score, row_number() OVER (ORDER BY score DESC, case_id) AS place FROM listed", "actions", extra=_LIST))
 def case_ranking(spark: SparkSession, root: str) -> DataFrame:

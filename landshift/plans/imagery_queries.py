@@ -425,20 +425,23 @@ def cross_split_duplicates(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("sample_violations", O.sql(
-    """SELECT pair_id, concat_ws('|', CASE WHEN pair_id % 9 = 0 THEN 'DIMENSIONS' END, CASE WHEN pair_id % 10 = 0 THEN 'LABEL_REJECTED' END,
+    """SELECT pair_id, concat_ws('|', CASE WHEN pair_id % 9 = 0 THEN 'DIMENSIONS' END,
+       CASE WHEN pair_id % 8 = 3 THEN 'PAIR_HASH_MISMATCH' END, CASE WHEN pair_id % 10 = 0 THEN 'LABEL_REJECTED' END,
        CASE WHEN NOT transform_plausible OR overlap_ratio <= 0 THEN 'REGISTRATION_INVALID' END) AS violations FROM pairs""", "pairs"))
 def sample_violations(spark: SparkSession, root: str) -> DataFrame:
-    p = F.col("pair_id")
-    meta = B.pairs(spark, root).select(
-        "pair_id", F.lit(8).alias("width"), F.when(p % 9 == 0, 9).otherwise(8).alias("height"),
+    p, px, bands = F.col("pair_id"), B.pair_pixels(spark, root), ["b1", "b2", "b3"]
+    named = F.when(p % 8 == 3, F.sha2(p.cast("string"), 256)).otherwise(F.col("pair_sha256")).alias("pair_sha256")
+    meta = B.pairs(spark, root).join(U.pair_hash(px, bands), "pair_id").select(
+        "pair_id", named, F.lit(8).alias("width"), F.when(p % 9 == 0, 9).otherwise(8).alias("height"),
         F.when(p % 10 == 0, "rejected").otherwise("accepted").alias("label_quality"), "transform_plausible", "overlap_ratio")
-    return U.sample_violations(B.pair_pixels(spark, root), meta).select("pair_id", F.array_join("violations", "|").alias("violations"))
+    return U.sample_violations(px, meta, bands=bands).select("pair_id", F.array_join("violations", "|").alias("violations"))
 
 
 @query("dataset_report", O.sql(
-    """SELECT 'split' AS kind, split AS name, count(*) AS n FROM pairs GROUP BY 2
-       UNION ALL SELECT 'class', CAST(target AS VARCHAR), count(*) FROM pair_pixels GROUP BY 2
-       UNION ALL SELECT 'empty', 'samples', count(*) FILTER (t = 0) FROM (SELECT max(target) AS t FROM pair_pixels GROUP BY pair_id)""",
+    """SELECT 'split' AS kind, split AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS ratio FROM pairs GROUP BY 2
+       UNION ALL SELECT 'class', CAST(target AS VARCHAR), count(*), NULL FROM pair_pixels GROUP BY 2
+       UNION ALL SELECT 'empty', 'samples', count(*) FILTER (t = 0), NULL FROM (SELECT max(target) AS t FROM pair_pixels GROUP BY pair_id)
+       UNION ALL SELECT 'coverage', 'labelled', count(*) FILTER (target <> 0), count(*) FILTER (target <> 0) / CAST(count(*) AS DOUBLE) FROM pair_pixels""",
     "pairs", "pair_pixels"))
 def dataset_report(spark: SparkSession, root: str) -> DataFrame:
     return U.dataset_report(B.pair_pixels(spark, root), B.pairs(spark, root))
@@ -451,6 +454,17 @@ def tile_hashes(spark: SparkSession, root: str) -> DataFrame:
     return U.tile_hash(B.pixels(spark, root), ["b1", "b2", "b3"])
 
 
+_PAIR_ROWS = """SELECT pair_id, r, sha256(string_agg(ob1 || ',' || ob2 || ',' || ob3, ';' ORDER BY c)) AS oh,
+    sha256(string_agg(nb1 || ',' || nb2 || ',' || nb3, ';' ORDER BY c)) AS nh FROM pair_pixels GROUP BY 1, 2"""
+
+
+@query("pair_hashes", O.sql(
+    f"""SELECT pair_id, sha256(sha256('8|8|' || string_agg(oh, '' ORDER BY r)) || '|' || sha256('8|8|' || string_agg(nh, '' ORDER BY r)))
+       AS pair_sha256 FROM ({_PAIR_ROWS}) GROUP BY 1""", "pair_pixels"))
+def pair_hashes(spark: SparkSession, root: str) -> DataFrame:
+    return U.pair_hash(B.pair_pixels(spark, root), ["b1", "b2", "b3"])
+
+
 @query("channel_stats", O.sql(
     "SELECT " + ", ".join(f"{O.r6(f'avg({b} / 255e0)')} AS {b}_mean, {O.r6(f'stddev_pop({b} / 255e0)')} AS {b}_std" for b in ("b1", "b2", "b3"))
     + " FROM pixels", "pixels"))

@@ -172,3 +172,13 @@ def test_case_stream_over_two_triggers_equals_the_fold(spark, tmp_path):
     assert {r["seq"]: (r["error_code"], r["after_status"]) for r in got} == want and len(got) == len(log)
     assert [(r["seq"], r["error_code"]) for r in T.refused(judged).where("seq = 1").collect()] == [(1, T.LATE)]
     assert T.accepted(judged).count() + T.refused(judged).count() == judged.count()
+
+
+def test_listing_filters_and_total(spark):
+    rows = [(f"c{i:02d}", "OPEN" if i % 3 else "SHUT", f"m{i % 2}", float(i % 5)) for i in range(30)]
+    cases = spark.createDataFrame(rows, "case_id string, status string, municipality_id string, score double")
+    page, total = L.list_cases(cases, offset=1, limit=4, status=["OPEN"], municipality_id="m1", ward_id=None)
+    fit = sorted((r for r in rows if r[1] == "OPEN" and r[2] == "m1"), key=lambda r: (-r[3], r[0]))
+    assert [r["case_id"] for r in page.collect()] == [r[0] for r in fit[1:5]]
+    assert total.first()["total"] == len(fit)
+    assert L.list_cases(cases, status=[])[1].first()["total"] == 0
