@@ -178,6 +178,35 @@ def test_links_equal_brute_force_on_a_crowded_parcel(spark):
     assert sorted(sorted(v) for v in got.values()) == want
 
 
+def test_links_of_few_and_crowded_parcels_group_alike(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, f"c{i:03d}", f"p{i % 9}" if i % 4 else "crowd", rnd.uniform(0, 60), rnd.uniform(0, 60), T0 + rnd.uniform(0, 500) * H,
+             rnd.choice(["wall built", "wall builds", "roof raised", "noise", None]), rnd.choice(["a", "b", None]), f"{rnd.getrandbits(12):016x}")
+            for i in range(160)]
+    rows += [(900, "odd", "p1", None, 5., T0, "noise", "a", None), (901, "even", "p1", 5., 5., None, "noise", "a", None)]
+    c = complaints_df(spark, [*rows, *rows[:20]])
+
+    def found(few):
+        links = C.complaint_links(c, few=few)
+        m = C.complaint_membership(c, links)
+        members = sorted((r["parcel_id"], r["complaint_id"], r["group_root"]) for r in m.collect())
+        return members, sorted((r["group_root"], r["duplicate_signals"]) for r in C.complaint_groups(m, links).collect())
+
+    want = found(0)
+    assert found(30) == want and found(1000) == want and len(want[0]) == 182
+
+
+def test_few_complaints_of_many_parcels_are_not_laid_out_by_bands(spark, monkeypatch):
+    def refuse(*_args, **_kw):
+        raise AssertionError("bands are for crowded parcels")
+
+    monkeypatch.setattr(C, "near_links", refuse)
+    rows = [(i, f"c{i}", f"p{i // 4}", float(i % 4), 0., T0, "noise", None, "0f" * 8) for i in range(40)]
+    assert C.complaint_links(complaints_df(spark, rows)).count() == 10 * 6 * 2
+
+
 def test_changes_without_keys_keep_their_rows(spark):
     import datetime as dt
 
