@@ -44,6 +44,24 @@ def test_setback_that_vanishes_takes_the_parcel(spark):
     assert areas(spark, [0., 0., 1., 1.], [0., 0., 1., 1.], [0., 0., 4., 4.], [0., 0., 8., 8.], 0)["setback_zone_area"] == 0
 
 
+def test_runs_of_cells_equal_cells(spark):
+    import random
+
+    rnd = random.Random(3)
+    shapes = ("approved", "old", "new", "parcel", "inner")
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice(shapes), [x := rnd.uniform(-90, 90), y := rnd.uniform(-90, 90), x + rnd.uniform(-1, 60), y + rnd.uniform(-1, 90)])
+            for _ in range(60)]
+    rows += [("gap", "old", [0., 0., 2., 2.]), ("gap", "new", [5., 0., 9., 2.]), ("gap", "old", [0., 0., 2., 2.])]
+    df = boxed(spark.createDataFrame(rows, "k string, src string, box array<double>"), "box")
+    cells, runs = S.box_cells(df, "box", 1.5), S.box_cells(df, "box", 1.5, ["k"])
+    assert runs.count() < cells.count() / 10
+    areas = [{tuple(r) for r in S.plan_comparison_cells(c, ["k"], 1.5).collect()} for c in (cells, runs)]
+    assert areas[0] == areas[1] and len(areas[0]) == 4
+    union = S.dissolve(cells, ["k"]).groupBy("k").count()
+    assert {tuple(r) for r in union.collect()} == {
+        tuple(r) for r in S.dissolve(runs, ["k"]).groupBy("k").agg(F.sum(F.col("cx_end") - F.col("cx"))).collect()}
+
+
 def test_parcel_ambiguity_and_no_match(spark):
     changes = boxed(spark.createDataFrame([("c1", [90., 20., 110., 40.], "E"), ("c2", [300., 20., 310., 30.], "E")],
                                           "change_id string, box array<double>, crs string"), "box")
