@@ -271,6 +271,37 @@ def test_box_links_of_all_sizes_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(250)} and len(set(got.values())) < 245
 
 
+def test_wide_changes_are_stored_with_their_hits_and_rules_stand_alone(spark, monkeypatch):
+    from landshift.plans import assess as A
+
+    stored = []
+
+    def keep(df):
+        stored.append(set(df.columns))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(A, "cut_lineage", keep)
+    box = lambda *v: "named_struct(" + ", ".join(f"'{n}', {x}D" for n, x in zip(G.SIDES, v)) + ")"
+    changes = spark.sql(" union all ".join(
+        f"""select '{c}' change_id, 'p' parcel_id, date'2024-05-01' capture_date, timestamp'2024-05-01' capture_time, 1 plan_version,
+        {box(x, 10, x + 20, 30)} box, {box(10, 10, 20, 20)} old_box, {box(x, 10, x + 20, 30)} new_box, 0.9D change_confidence,
+        0.9D registration_quality, array('w') quality_warnings, timestamp'2024-05-09' evaluation_time, 'E' crs""" for c, x in (("near", 10), ("far", 500))))
+    parcels = spark.sql(f"select 'p' parcel_id, 'w' ward_id, 'm' municipality_id, 'z' zone, {box(0, 0, 90, 90)} box, 'E' crs")
+    plans = spark.sql(f"select 1 ordinal, 'f' footprint_id, 'p' parcel_id, 1 plan_version, {box(10, 10, 30, 30)} box")
+    roads = spark.sql(f"select 'a' boundary_id, {box(15, 0, 15, 90)} box, 'E' crs union all select 'b', {box(25, 0, 25, 90)}, 'E'")
+    struct = lambda d: "named_struct(" + ", ".join(f"'{k}', {float(v)}D" for k, v in d.items()) + ")"
+    rules = spark.sql(f"""select 'r' rule_set_id, 'm' municipality_id, 'z' zone, date'2024-01-01' effective_from, cast(null as date) effective_until,
+        0.5D maximum_site_coverage, 5D setback_metres, 100D changed_area_reference, 180 evidence_freshness_days,
+        {struct(RISK_THRESHOLDS)} thresholds, {struct(RISK_WEIGHTS)} weights""")
+    permits = permits_df(spark, [("t", "p", 1, D(2024, 1, 1), D(2024, 12, 31))])
+    counts = spark.createDataFrame([("p", 2)], "parcel_id string, complaint_groups bigint")
+    got = {r["change_id"]: r for r in A.assemble_evidence(changes, parcels, plans, permits, rules, roads, counts).collect()}
+    assert got["near"]["boundary_hits"] == 2 and got["near"]["rule_set_id"] == "r" and got["near"]["permit_status"] == "valid_match"
+    assert got["far"]["boundary_hits"] == 0 and got["far"]["link_error"] == "NO_PARCEL_MATCH"
+    assert any({"change_id", "boundary_hits"} <= c for c in stored)
+    assert {"municipality_id", "zone", "capture_date", "rule_set_id", "rule_error"} in stored
+
+
 def test_catalogue_on_disk_feeds_the_assessment(spark, tmp_path):
     from landshift.plans.assess import assess_catalogue, no_polygon_results
     from landshift.sources import bindings as B, catalogue as K
