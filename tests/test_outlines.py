@@ -70,3 +70,21 @@ def test_outlines_equal_the_box_form_on_boxes(spark):
     areas = S.plan_areas(*[box[s] for s in U.SHAPES], F.col("setback"))
     want = {r["case_id"]: tuple(round(r[c], 9) for c in COLUMNS) for r in df.select("case_id", *[areas[c].alias(c) for c in COLUMNS]).collect()}
     assert got == want
+
+
+def test_tall_outlines_meet_over_bands_of_rows(spark):
+    rnd = random.Random(11)
+    cases = []
+    for k in (0, 3, 20):  # a wide disc reaches over more than one step of rows
+        shapes = {s: [[*r, r[0]]] for s in U.SHAPES for r in [[(rnd.uniform(3, 147), rnd.uniform(3, 147)) for _ in range(4)]]}
+        shapes["parcel"] = [rectangle(5, 5, 146, 140), rectangle(60, 62, 70, 66)]
+        cases.append((shapes, k))
+    got = {r["case_id"]: tuple(r[c] for c in COLUMNS) for r in U.plan_comparison_outlines(table(spark, cases), ["case_id"], 1.0).collect()}
+    assert got == {i: plain(*c, size=150) for i, c in enumerate(cases)}
+
+
+def test_parcels_without_their_setback_are_few_boxes(spark):
+    given = table(spark, [({"parcel": [rectangle(0, 0, 300, 400)]}, 6), ({"parcel": [rectangle(0, 0, 11, 400)]}, 6)])
+    rows = U.inset_boxes(given, ["case_id"], 1.0).collect()
+    assert sum((r["last"] - r["first"] + 1) * (r["high"] - r["low"]) for r in rows) == 288 * 388
+    assert len(rows) <= 400 // U.BAND_ROWS + 1 and {r["case_id"] for r in rows} == {0}
