@@ -85,3 +85,12 @@ def test_faulty_outlines_are_quarantined(spark):
     was = before.where(is_print & (F.col("reason_code") == "INVALID_GEOMETRY") & ~F.col("original_record_reference").rlike("[05]$")).count()
     assert bad == was + ringed.where(odd).count() and kept["approved_footprints"].where(odd).count() == 0
     assert kept["approved_footprints"].count() + after.where(is_print).count() == ringed.count()
+
+
+def test_short_rings_are_judged_in_their_row(spark):
+    given = [circle(n, dent) for n in (R.FEW - 1, R.FEW, R.FEW + 1) for dent in (None, 5)]
+    want = {i: "CROSSING" for i, r in enumerate(given) if plain_fault(r)}
+    assert {r["ring_id"]: r["fault"] for r in R.ring_faults(table(spark, given), "ring_id").collect()} == want and len(want) == 3
+    # two rings of one name, apart from each other both valid
+    twice = table(spark, [circle(4), [(x + 9.0, y) for x, y in circle(4)]]).withColumn("ring_id", F.lit(7))
+    assert R.ring_faults(twice, "ring_id").count() == 0
