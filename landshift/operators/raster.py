@@ -17,6 +17,9 @@ from landshift.session import cut_lineage
 
 Key = tuple[str, ...]
 
+#: Columns of a row in which runs are compared with those below.
+STRETCH = 64
+
 
 def along_row(key: Key) -> WindowSpec:
     return Window.partitionBy(*key, "row").orderBy("col")
@@ -137,20 +140,40 @@ def runs(pixels: DataFrame, key: Key) -> DataFrame:
     ).drop("_s")
 
 
+def _once(pixels: DataFrame, key: Key) -> DataFrame:
+    """Distinct pixels, dealt by rows, so that the windows along rows need no further shuffle."""
+    return pixels.select(*key, "row", "col").repartition(*key, "row").distinct()
+
+
+def run_ends(marked: DataFrame, key: Key) -> DataFrame:
+    """(key, row, run, c0, c1): first and last column of every run."""
+    return marked.groupBy(*key, "row", "run").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
+
+
+def run_pairs(ends: DataFrame, key: Key, reach: int) -> DataFrame:
+    """(key, upper, lower): runs of a row and runs of the row below within ``reach`` columns, each pair once.
+
+    Runs meet in the stretches of ``STRETCH`` columns that they pass, so a row costs its runs and their length, not its run pairs.
+    """
+    k, both = list(key), F.struct("run", "c0", "c1")
+    passed = lambda low, high: F.explode(F.sequence(
+        F.floor(low / STRETCH).cast("long"), F.floor(high / STRETCH).cast("long"))).alias("_s")
+    upper = ends.select(*k, (F.col("row") + 1).alias("row"), both.alias("upper"), passed(F.col("c0") - reach, F.col("c1") + reach))
+    lower = ends.select(*k, "row", both.alias("lower"), passed(F.col("c0"), F.col("c1")))
+    low, high = F.greatest(F.col("upper.c0") - reach, F.col("lower.c0")), F.least(F.col("upper.c1") + reach, F.col("lower.c1"))
+    met = upper.join(lower, [*k, "row", "_s"]).where((low <= high) & (F.floor(low / STRETCH) == F.col("_s")))
+    return met.select(*k, "upper", "lower")
+
+
 def pixel_components(pixels: DataFrame, key: Key = ("raster_id",), connectivity: int = 8) -> DataFrame:
     """Foreground pixels with ``component`` (its least run number).
 
-    Runs of a row are the vertices; edges come from an equi-join of pixels with the pixels below,
-    so a dense row costs its pixels, not its run pairs.
+    Runs of a row are the vertices; edges come from an equi-join of runs with the runs below.
     """
     k = list(key)
     marked = runs(pixels, key)
-    steps = (-1, 0, 1) if connectivity == 8 else (0,)
-    below = marked.select(*k, F.col("row"), F.col("col"), F.col("run").alias("dst"))
-    above = marked.select(
-        *k, (F.col("row") + 1).alias("row"), F.explode(F.array(*[F.col("col") + d for d in steps])).alias("col"),
-        F.col("run").alias("src"))
-    edges = above.join(below, [*k, "row", "col"]).select(*k, "src", "dst").distinct()
+    pairs = run_pairs(run_ends(marked, key), key, 1 if connectivity == 8 else 0)
+    edges = pairs.select(*k, F.col("upper.run").alias("src"), F.col("lower.run").alias("dst"))
     labels = connected_components(edges, None, key).withColumnsRenamed({"vertex": "run", "component": "_c"})
     return marked.join(labels, [*k, "run"], "left").withColumn(
         "component", F.coalesce("_c", "run")).drop("_c", "run")
@@ -171,10 +194,11 @@ def component_footprints(
     Holes and what lies in them belong to the outer shape. A hole lies within one 8-connected component, so
     only the bounding box of each component, one pixel wider, is looked at: what does not reach that
     frame without crossing the component is filled. The outline runs through pixel centres; its area is
-    the number of full 2x2 blocks plus half of those with three pixels, which also holds for one-pixel spurs.
+    the number of full 2x2 blocks plus half of those with three pixels, which also holds for one-pixel spurs. Both are
+    counted by pairs of runs.
     """
     k = list(key)
-    front = cut_lineage(pixel_components(pixels.select(*k, "row", "col").distinct(), key, connectivity=8)).select(
+    front = cut_lineage(pixel_components(_once(pixels, key), key, connectivity=8)).select(
         *k, F.col("component").alias("_of"), "row", "col")
     frames = front.groupBy(*k, "_of").agg(
         (F.min("row") - 1).alias("_r0"), (F.max("row") + 1).alias("_r1"),
@@ -187,14 +211,14 @@ def component_footprints(
     edge = F.col("row").isin(F.col("_r0"), F.col("_r1")) | F.col("col").isin(F.col("_c0"), F.col("_c1"))
     open_ground = ground.where(edge).select(*k, "_of", "component").distinct()
     holes = ground.join(open_ground, [*k, "_of", "component"], "left_anti").select(*k, "row", "col")
-    filled = front.select(*k, "row", "col").unionByName(holes).distinct()
+    filled = _once(front.select(*k, "row", "col").unionByName(holes), key)
     shapes = cut_lineage(pixel_components(filled, key, connectivity=8))
-    corners = F.explode(F.array(*[
-        F.struct((F.col("row") - a).alias("r"), (F.col("col") - b).alias("c")) for a in (0, 1) for b in (0, 1)]))
-    blocks = shapes.select(*k, "component", corners.alias("_q")).groupBy(*k, "component", "_q").agg(
-        F.count("*").alias("_n"))
-    areas = blocks.groupBy(*k, "component").agg(
-        F.sum(F.when(F.col("_n") == 4, 1.0).when(F.col("_n") == 3, 0.5).otherwise(0.0)).alias("outline_area"))
+    u0, u1, l0, l1 = (F.col(c) for c in ("upper.c0", "upper.c1", "lower.c0", "lower.c1"))
+    # full blocks of a pair of runs, and half of the blocks in which one run ends
+    full = F.greatest(F.least(u1, l1) - F.greatest(u0, l0), F.lit(0))
+    ended = [(u0 < l0) & (l0 <= u1), (u0 <= l1) & (l1 < u1), (l0 < u0) & (u0 <= l1), (l0 <= u1) & (u1 < l1)]
+    part = run_pairs(run_ends(runs(shapes, (*key, "component")), (*key, "component")), (*key, "component"), 1).groupBy(*k, "component").agg(
+        F.sum(full + sum(F.when(c, 0.5).otherwise(0.0) for c in ended)).alias("outline_area"))
     bounds = shapes.groupBy(*k, "component").agg(
         F.count("*").alias("filled_pixels"), F.min("row").alias("r0"), F.max("row").alias("r1"),
         F.min("col").alias("c0"), F.max("col").alias("c1"))
@@ -206,7 +230,8 @@ def component_footprints(
     xs = [at(c, r, 0) for c in ("c0", "c1") for r in ("r0", "r1")]
     ys = [at(c, r, 3) for c in ("c0", "c1") for r in ("r0", "r1")]
     return (
-        bounds.join(areas, [*k, "component"]).where(F.col("outline_area") >= minimum_area)
+        bounds.join(part, [*k, "component"], "left").withColumn("outline_area", F.coalesce("outline_area", F.lit(0.0)))
+        .where(F.col("outline_area") >= minimum_area)
         .join(extents.select(*k, "transform", "factor"), k)
         .withColumn("box", G.box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)))
         .withColumn("area_m2", F.col("outline_area") * F.abs(t[0] * t[4] - t[1] * t[3]) * F.col("factor"))

@@ -162,3 +162,11 @@ def test_resample_skips_empty_grids(spark):
     px = spark.createDataFrame([("r", i, j, 1.0, True) for i in range(2) for j in range(2)], "raster_id string, row int, col int, value double, valid boolean")
     for method in ("nearest", "bilinear"):
         assert {r["grid_id"]: r["count"] for r in S.resample(px, grids, method).groupBy("grid_id").count().collect()} == {"a": 4}
+
+
+def test_runs_meet_once_over_stretches(spark):
+    ends = spark.createDataFrame(
+        [(1, 0, 1, 0, 200), (1, 0, 2, 210, 210), (1, 1, 3, 60, 130), (1, 1, 4, 201, 209), (1, 1, 5, 212, 300)],
+        "raster_id int, row int, run long, c0 int, c1 int")
+    found = lambda reach: sorted((r[0], r[1]) for r in R.run_pairs(ends, ("raster_id",), reach).select("upper.run", "lower.run").collect())
+    assert found(1) == [(1, 3), (1, 4), (2, 4)] and found(0) == [(1, 3)]
