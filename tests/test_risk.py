@@ -323,3 +323,43 @@ def test_catalogue_on_disk_feeds_the_assessment(spark, tmp_path):
     pairs = spark.createDataFrame([("a",), ("b",)], "pair_id string")
     none = no_polygon_results(pairs, pairs.where("pair_id = 'a'")).collect()
     assert [(r["pair_id"], r["level"], r["case_id"]) for r in none] == [("b", "LOW", None)]
+
+
+def test_permit_steps_equal_brute_force_and_changes_are_read_once(spark, tmp_path):
+    import random
+
+    pick = random.Random(3)
+    base = D(2023, 1, 1).toordinal()
+
+    def day(spread):
+        return None if pick.random() < 0.05 else D.fromordinal(base + pick.randrange(spread))
+
+    permits, changes = [], []
+    for i in range(400):
+        start = day(900)
+        end = D.fromordinal(start.toordinal() + pick.choice((-1, 0, 1, 30, 90, 300, 700))) if start else day(900)
+        permits.append((f"m{i % 390}", pick.choice(("p", "p", "q", "r", "s", None)), pick.choice((1, 2, 2, None)), start, end))
+    for i in range(900):
+        changes.append((f"c{i}", pick.choice(("p", "q", "r", "s", "t", None)), pick.choice((1, 2, 3, None)), day(1700)))
+    permits += [("x", "bad", 1, D(2024, 1, 2), D(2024, 1, 1)), ("old", "far", 1, D(1969, 12, 30), D(1970, 1, 2))]
+    changes += [("bad", "bad", 1, D(2024, 1, 1)), ("bad0", "bad", 1, None), ("far", "far", 1, D(1970, 1, 2)), ("far3", "far", 1, D(1970, 1, 3))]
+    changes += changes[:5]
+
+    def expected(parcel, version, date):
+        mine = [p for p in permits if parcel is not None and p[1] == parcel]
+        over = [p for p in mine if date and p[3] and p[4] and p[3] <= date <= p[4]]
+        same = [p for p in over if version is not None and p[2] == version]
+        best = max(same, key=lambda p: (p[3], p[0]), default=None)
+        ends = [p[4] for p in mine if p[4]]
+        status = ("no_match" if not mine or date is None else "valid_match" if same else "wrong_plan_version" if over
+                  else "expired_at_capture" if ends and min(ends) < date else "not_yet_valid")
+        return status, best and best[0], best and best[3], len(mine)
+
+    spark.createDataFrame(changes, "change_id string, parcel_id string, plan_version int, capture_date date").write.parquet(f"{tmp_path}/c")
+    out = T.permit_at_capture(spark.read.parquet(f"{tmp_path}/c"), permits_df(spark, permits))
+    assert out.columns == ["parcel_id", "plan_version", "capture_date", "change_id", "permit_status", "matched_permit_id",
+                           "matched_valid_from", "candidate_count"]
+    got = sorted((r["change_id"], r["permit_status"], r["matched_permit_id"], r["matched_valid_from"], r["candidate_count"]) for r in out.collect())
+    assert got == sorted((c, *expected(*key)) for c, *key in changes)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
