@@ -37,7 +37,14 @@ def _reason(stage: str, *rules: tuple[Column, str]) -> Column:
 
 
 def _parent(df: DataFrame, key: str, alias: str, *cols: str) -> DataFrame:
-    """Parent rows as one struct column, with whether they were rejected; of a repeated id the last row counts."""
+    """Parent rows as one struct column, with whether they were rejected; of a repeated id the last row counts.
+
+    Without further columns the aggregate is on plain values, which Spark combines by hash and not by sorting all rows.
+    """
+    if not cols:
+        last = F.coalesce("ordinal", F.lit(-(2**63))) if "ordinal" in df.columns else F.xxhash64(key)
+        return df.groupBy(F.col(key).alias(f"_{alias}_key")).agg(
+            F.max_by(F.col("_r").isNull(), last).alias("ok")).select(f"_{alias}_key", F.struct("ok").alias(f"_{alias}"))
     order = F.struct(*[F.col(c) for c in ("ordinal",) if c in df.columns], F.xxhash64(key, *cols))
     return df.groupBy(F.col(key).alias(f"_{alias}_key")).agg(
         F.max_by(F.struct(F.col("_r").isNull().alias("ok"), *cols), order).alias(f"_{alias}"))
@@ -90,7 +97,9 @@ def _assets(df: DataFrame) -> DataFrame:
 
     The first one is a grouped minimum (combined before the shuffle), not a ranking window, so a
     group of copies never has to be sorted in one task. A missing hash is a fault of its own and no copy.
+    The rows are stored first, so that contents are hashed once.
     """
+    df = cut_lineage(df)
     first = df.where("content_sha256 is not null").groupBy(F.col("content_sha256").alias("_sha")).agg(
         F.min("ordinal").alias("_first"))
     joined = df.join(first, F.col("content_sha256") == F.col("_sha"), "left").drop("_sha")
@@ -123,7 +132,7 @@ def judge(tables: dict[str, DataFrame], at: Column) -> dict[str, DataFrame]:
     out["parcels"] = _inside_parent(tables["parcels"], out["wards"], "ward_id", "MISSING_WARD", "OUTSIDE_WARD")
     out["imagery_assets"] = _assets(tables["imagery_assets"])
     out["inspectors"] = tables["inspectors"].withColumn("_r", F.lit(None).cast("struct<reason:string,stage:string>"))
-    parcel = _parent(out["parcels"], "parcel_id", "p", "box", "crs", "setback_m")
+    parcel = cut_lineage(_parent(out["parcels"], "parcel_id", "p", "box", "crs", "setback_m"))
 
     known = tables["approved_buildings"].select(F.col("building_id").alias("_b_key"), F.lit(True).alias("_b")).distinct()
     local = _attach(_attach(tables["approved_footprints"], parcel, "p", "parcel_id"), known, "b", "building_id")
@@ -166,24 +175,23 @@ def judge(tables: dict[str, DataFrame], at: Column) -> dict[str, DataFrame]:
 
 
 def _cases(cases: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
-    """Single links by joins; the id arrays are exploded, joined and folded per case."""
-    df = cases
+    """Single links by joins. Of the id arrays, the ids that name no kept row are found first, each once and not once
+    per case; only the cases that use one of them are then joined. Both lists are stored, so a short one is broadcast."""
+    df, broken = cases, None
     for alias, entity, key in (
         ("p", "parcels", "parcel_id"), ("b", "approved_buildings", "building_id"),
         ("m", "permits", "permit_id"), ("i", "inspectors", "inspector_id"),
     ):
         df = _attach(df, _parent(done[entity], key, alias), alias, key)
-    for alias, entity, key, ids in (
-        ("a", "imagery_assets", "asset_id", "imagery_asset_ids"), ("c", "complaints", "complaint_id", "complaint_ids"),
-    ):
+    for entity, key, ids in (("imagery_assets", "asset_id", "imagery_asset_ids"), ("complaints", "complaint_id", "complaint_ids")):
         used = cases.select("case_id", F.explode(ids).alias("_id"))
-        valid = done[entity].where(F.col("_r").isNull()).select(F.col(key).alias("_id"), F.lit(1).alias("_ok")).distinct()
-        broken = used.join(valid, "_id", "left").groupBy("case_id").agg(
-            F.count_if(F.col("_ok").isNull()).alias(f"_{alias}_broken"))
-        df = df.join(broken, "case_id", "left")
+        kept = done[entity].where(F.col("_r").isNull()).select(F.col(key).alias("_id"))
+        gone = cut_lineage(used.select("_id").distinct().join(kept, "_id", "left_anti").withColumnRenamed("_id", "_gone"))
+        part = used.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_semi").select("case_id")
+        broken = part if broken is None else broken.unionByName(part)
+    df = df.join(cut_lineage(broken.distinct().withColumn("_broken", F.lit(True))), "case_id", "left")
     missing = (
-        _bad("p") | _bad("b") | _bad("m") | F.col("_i").isNull()
-        | (F.coalesce("_a_broken", F.lit(0)) > 0) | (F.coalesce("_c_broken", F.lit(0)) > 0)
+        _bad("p") | _bad("b") | _bad("m") | F.col("_i").isNull() | F.col("_broken").isNotNull()
     )
     return _settle(df, _bad_geometry("observed_footprint"),
                    _reason("relationship", (missing, "INVALID_CASE_RELATIONSHIP")))

@@ -4,6 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from landshift.functions import boxes as G
 from landshift.operators import cases as L, curate as U, registration as M, validate as V
 from landshift.sources import bindings as B, catalogue as K
 
@@ -182,3 +183,33 @@ def test_listing_filters_and_total(spark):
     assert [r["case_id"] for r in page.collect()] == [r[0] for r in fit[1:5]]
     assert total.first()["total"] == len(fit)
     assert L.list_cases(cases, status=[])[1].first()["total"] == 0
+
+
+def test_parent_flags_combine_by_hash_and_the_last_row_counts(spark):
+    r = "struct<reason:string,stage:string>"
+    rows = spark.createDataFrame([("p", 1, None), ("p", 3, ("X", "y")), ("p", 2, None), ("q", None, None), (None, 1, None)], f"id string, ordinal long, _r {r}")
+    flags = V._parent(rows, "id", "p")
+    assert {x["_p_key"]: x["_p"]["ok"] for x in flags.collect()} == {"p": False, "q": True, None: True}
+    for df in (flags, V._parent(rows.drop("ordinal"), "id", "p")):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_case_ids_are_looked_up_once_each(spark, monkeypatch):
+    stored = []
+    real = V.cut_lineage
+    monkeypatch.setattr(V, "cut_lineage", lambda df: stored.append(real(df)) or stored[-1])
+    r = "struct<reason:string,stage:string>"
+    done = {name: spark.createDataFrame([("ok", None), ("bad", ("X", "y"))], f"{key} string, _r {r}") for name, key in (
+        ("parcels", "parcel_id"), ("approved_buildings", "building_id"), ("permits", "permit_id"), ("inspectors", "inspector_id"),
+        ("imagery_assets", "asset_id"), ("complaints", "complaint_id"))}
+    kinds = [("a", ["ok"], []), ("b", ["ok", "bad"], []), ("c", ["ok"], ["gone"]), ("d", ["ok", None], []), ("e", None, ["ok"]),
+             ("f", ["ok"], []), ("f", ["bad"], []), (None, ["bad"], [])] + [(f"x{i}", ["gone", "bad"], ["bad"]) for i in range(40)]
+    cases = spark.createDataFrame(
+        [(c, "ok", "ok", "ok", "ok", a, k) for c, a, k in kinds] + [("g", "bad", "ok", "ok", "ok", ["ok"], []), ("h", "ok", "ok", None, "ok", ["ok"], [])],
+        "case_id string, parcel_id string, building_id string, permit_id string, inspector_id string, imagery_asset_ids array<string>, "
+        "complaint_ids array<string>").withColumn("observed_footprint", G.box(*[F.lit(float(v)) for v in (0, 0, 1, 1)]))
+    out = V._cases(cases, done).collect()
+    assert len(out) == cases.count()
+    rejected = sorted({str(x["case_id"]) for x in out if x["_r"] is not None and x["_r"]["reason"] == "INVALID_CASE_RELATIONSHIP"})
+    assert rejected == sorted(["b", "c", "d", "f", "g", "h", *[f"x{i}" for i in range(40)]])
+    assert [df.count() for df in stored[:2]] == [3, 2]
