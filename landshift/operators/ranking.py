@@ -10,18 +10,17 @@ from landshift.session import cut_lineage
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1-based position of every row in the given order.
 
-    A range-partitioned sort fixes the order; only one count per partition is ordered centrally,
-    and it is added to the row's place inside its own partition.
+    A range-partitioned sort fixes the order and rows are stored once with their place in their partition; only one
+    count per partition is ordered centrally.
     """
+    # The id is the partition in its upper bits and the place in the sorted partition in the lower 33.
     placed = cut_lineage(
-        df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn(
-        "_before",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("_p", "_before")
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return placed.withColumn("_k", inside).join(before, "_p").withColumn(
-        name, F.col("_k") + F.col("_before")
-    ).drop("_p", "_k", "_before")
+    task, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    counts = placed.groupBy(task.alias("_p")).agg(F.count("*").alias("_n"))
+    before = cut_lineage(counts.select("_p", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")))
+    return placed.join(before, task == F.col("_p")).withColumn(
+        name, inside + 1 + F.col("_before")
+    ).drop("_p", "_at", "_before")

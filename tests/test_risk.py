@@ -363,3 +363,105 @@ def test_permit_steps_equal_brute_force_and_changes_are_read_once(spark, tmp_pat
     assert got == sorted((c, *expected(*key)) for c, *key in changes)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
+
+
+def box_of(rnd, place, size):
+    x, y = rnd.uniform(-place, place), rnd.uniform(-place, place)
+    return [x, y, x + rnd.choice((0.0, 1.0, rnd.uniform(1, size))), y + rnd.uniform(1, size)]
+
+
+def test_changes_look_up_their_parcel_as_the_join_and_the_grouping_find_it(spark):
+    import random
+
+    from landshift.plans import assess as A
+
+    rnd = random.Random(8)
+    crs = lambda: rnd.choice(("E", "E", "E", "E", "F", None))
+    land = [(f"p{i}", box_of(rnd, 900, rnd.choice((40, 90, 700))), crs()) for i in range(150)]
+    land += [(f"p{i}", box_of(rnd, 900, 90), "E") for i in (3, 4)] + [(None, box_of(rnd, 900, 90), "E"), ("n", [0.0, None, 5.0, 5.0], "E")]
+    land += [("edge", [128.0, 128.0, 192.0, 192.0], "E")] + [(f"heap{i}", [2000.0, 2000.0, 2050.0, 2050.0 + i % 3], "E") for i in range(30)]
+    rows = [(f"c{i}", box_of(rnd, 900, rnd.choice((8, 64, 65, 130, 2000))), crs()) for i in range(400)]
+    rows += rows[:4] + [(f"c{i}", box_of(rnd, 900, 90), "E") for i in (7, 8)] + [("far", [5e12, 0.0, 5e12 + 5, 9.0], "E"), ("gap", [None, 0.0, 1.0, 9.0], "E")]
+    rows += [("touch", [64.0, 64.0, 128.0, 128.0], "E"), ("in", [127.5, 127.5, 128.5, 128.5], "E"), ("none", None, "E")]
+    rows += [(f"heap{i}", [2001.0, 2001.0, 2010.0, 2060.0], "E") for i in range(3)]
+    schema = "{} string, box array<double>, crs string"
+    changes = boxed(spark.createDataFrame(rows, schema.format("change_id")), "box")
+    land = boxed(spark.createDataFrame(land, schema.format("parcel_id")), "box").select(
+        "*", F.length("parcel_id").alias("municipality_id"), F.lit("w").alias("ward_id"), F.lit("z").alias("zone"),
+        F.lit(1).alias("approved_plan_version"), F.col("box").alias("approved_box"), F.lit(2).alias("complaint_groups"))
+    levels = sorted({r[0] for r in changes.select(S.lookup_level(F.col("box"))).collect()} - {None})
+    assert len(levels) > 3
+    cols = ("change_id", "matched_parcel_id", "parcel_box", "municipality_id", *A.FLAGS)
+
+    def bag(df):
+        return sorted(df.select(*cols).collect(), key=str)
+
+    want = bag(A._matched_in_general(changes, land))
+    assert sum(r["matched_parcel_id"] is not None for r in want) > 100
+    for few in (5, 1000):
+        assert bag(A.matched_changes(changes, land, levels, 1, few)) == want
+    once = changes.where("change_id like 'c1%'")
+    for hint in (False, True):
+        cells = S.lookup_cells(land.where("parcel_id is not null"), levels)
+        found = S.look_up_parcels(S.lookup_home(once, "box"), "box", cells, hint)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "rightHint=(strategy=merge)" in plan or not hint
+        assert sorted((r["change_id"], r["no_parcel_match"]) for r in found.collect()) == sorted(
+            (r["change_id"], r["no_parcel_match"]) for r in S.parcel_match(S.parcel_overlaps(once, land.where("parcel_id is not null")), once).collect())
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_stored_step_leaves_no_shuffle_files_and_can_be_discarded(spark):
+    import os
+    import time
+
+    from landshift.session import RELEASE, configured, discard, store
+
+    before, was = shuffle_files(spark), spark.conf.get(RELEASE[0])
+    rows, seen = store(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), n=F.count(F.lit(1)))
+    assert seen["n"] == rows.count() == 700 and spark.conf.get(RELEASE[0]) == was
+    for _ in range(50):
+        if shuffled := {f for f in shuffle_files(spark) - before if f.endswith(".data")}:
+            time.sleep(0.2)
+    # Only the count above may have left one.
+    assert len(shuffled) <= 1
+    folder = os.path.dirname(rows.inputFiles()[0].removeprefix("file:"))
+    other = spark.createDataFrame([(1,)], "a int")
+    discard(other.localCheckpoint())
+    assert os.path.isdir(folder)
+    discard(rows)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError), configured(spark, *RELEASE):
+        raise ValueError
+    assert spark.conf.get(RELEASE[0]) == was
+
+
+def test_rank_adds_one_number_a_partition_without_a_window_over_the_rows(spark):
+    import random
+
+    from landshift.operators.ranking import global_rank
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice((None, 1.5, 2.0, 7.25)), f"k{rnd.randrange(300)}") for _ in range(2000)]
+    df = spark.createDataFrame(rows, "score double, k string").repartition(7)
+    out = global_rank(df, [F.col("score").desc(), F.col("k").asc()], "place")
+    got = sorted(out.collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, 2001))
+    assert [(r["score"], r["k"]) for r in got] == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_score_reads_the_number_of_warnings_and_null_points_give_none(spark):
+    rows = evidence(spark).withColumn("quality_warnings", F.array(F.lit("a"), F.lit("b")))
+    counted = rows.withColumn("warning_count", F.size("quality_warnings"))
+    assert R.risk_scores(rows).first()["score"] == R.risk_scores(counted).first()["score"] == 86
+    plan = R.risk_scores(counted).select("score", "level")._jdf.queryExecution().optimizedPlan().toString()
+    assert "quality_warnings" not in plan.split("LogicalRDD")[0] and "format_string" not in plan
+    assert R.risk_scores(rows.withColumn("changed_area_reference", F.lit(None).cast("double"))).first()["score"] == 86
+    gone = R.risk_scores(rows.withColumn("change_confidence", F.lit(None).cast("double"))).first()
+    assert gone["score"] == 70
