@@ -465,3 +465,13 @@ def test_score_reads_the_number_of_warnings_and_null_points_give_none(spark):
     assert R.risk_scores(rows.withColumn("changed_area_reference", F.lit(None).cast("double"))).first()["score"] == 86
     gone = R.risk_scores(rows.withColumn("change_confidence", F.lit(None).cast("double"))).first()
     assert gone["score"] == 70
+
+
+def test_assessment_meets_stored_permit_steps_in_one_join_of_its_changes(spark):
+    from landshift.plans.risk_queries import _tables
+    from landshift.plans.assess import assess_changes
+
+    done = assess_changes(_tables(spark, "/root/testdata/sf0.001")).select("case_id", "score", "level")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    # Steps, rules of the day, the rule's setback and its other columns.
+    assert plan.count("Join ") == 4 and "Aggregate" not in plan
